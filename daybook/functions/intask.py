@@ -30,21 +30,18 @@ _CHECK_ARROW = pa.schema(
 )
 
 
-def number_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last_path, last_no = None, 0
-    for batch in batches:
-        runs = pc.run_end_encode(batch["file_path"])
+def count_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Count 1, 2, 3, ... along equal neighbours; runs go on across batches."""
+    last_key, last_no = None, 0
+    for keys in batches:
+        runs = pc.run_end_encode(keys)
         numbers, start = [], 0
-        for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
-            first = last_no + 1 if path == last_path else 1
-            last_path, last_no = path, first + end - start - 1
-            numbers.append(pa.array(np.arange(first, last_no + 1)))
+        for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            first = last_no + 1 if key == last_key else 1
+            last_key, last_no = key, first + end - start - 1
+            numbers.append(np.arange(first, last_no + 1))
             start = end
-        if numbers:
-            yield pa.RecordBatch.from_arrays(
-                [batch["file_path"], pa.concat_arrays(numbers), batch["value"]],
-                ["file_path", "line_no", "value"],
-            )
+        yield pa.array(np.concatenate(numbers) if numbers else [], pa.int64())
 
 
 def check_batches(

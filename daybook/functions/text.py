@@ -11,19 +11,34 @@ from daybook.constants import LINE_LABEL, NULL_TOKENS, STRIP_CHARS
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing white space, Unicode included."""
-    return F.btrim(text, F.lit(STRIP_CHARS))
+    """Remove leading and trailing white space, Unicode included.
+
+    Most lines begin and end with a printable ASCII character. One look at the
+    outer bytes leaves those alone; trimming walks through the whole line.
+    """
+    raw = text.cast("binary")
+    bare = _printable(F.substring(raw, 1, 1)) & _printable(F.substring(raw, -1, 1))
+    return F.when(bare, text).otherwise(F.btrim(text, F.lit(STRIP_CHARS)))
+
+
+def _printable(byte: Column) -> Column:
+    return (byte > F.lit(b"\x20")) & (byte < F.lit(b"\x7f"))
 
 
 def line_label(line_no: Column, line: Column) -> Column:
     return F.format_string(LINE_LABEL, line_no, line)
 
 
-def split_lines(text: Column) -> Column:
-    """Lines of a text as a file reader counts them: a final break opens no new line."""
-    parts = F.split(text, "\r\n|\r|\n")
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.slice(parts, 1, F.size(parts) - F.when(last_is_empty, 1).otherwise(0))
+def line_pieces(text: Column) -> Column:
+    """A text cut at its line breaks; a break at the end leaves an empty last piece.
+
+    Cut at plain line feeds, which is many times faster than at a pattern. A
+    carriage return before a line feed stays on the piece for ``strip`` to take;
+    only a text with single carriage returns has its breaks rewritten first.
+    """
+    single = F.contains(text, F.lit("\r")) & text.rlike("\r(?!\n)")
+    unified = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(F.when(single, unified).otherwise(text), "\n")
 
 
 def present(cell: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:

@@ -20,7 +20,7 @@ from daybook.sources.calendar import calendar
 from daybook.sources.errorlog import append_errors, error_entries
 from daybook.sources.landing import check_files, landed_days, landing_files
 from daybook.sources.snapshots import infer_schema, read_snapshots
-from daybook.sources.store import read_store, stored_schema, write_days
+from daybook.sources.store import stored_schema, write_days
 
 
 def backfill(
@@ -86,22 +86,12 @@ def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -
         if not paths:
             return outcomes
     rows = read_feed(spark, feed, schema, paths)
-    write_days(rows.select(*schema.names, "snapshot_date"), feed.store)
-    return _fail_empty_days(spark, feed, schema, outcomes)
-
-
-def _fail_empty_days(
-    spark: SparkSession, feed: Feed, schema: T.StructType, outcomes: DataFrame
-) -> DataFrame:
-    """A day without rows is present if it has a header, and failed if it is empty."""
-    days = outcomes.where(F.col("status") == LOADED)
-    dates = [r.snapshot_date for r in days.select("snapshot_date").collect()]
-    stored = read_store(spark, feed.store, schema).where(F.col("snapshot_date").isin(*dates))
-    without = days.join(stored.select("snapshot_date").distinct(), "snapshot_date", "left_anti")
-    paths = _paths_to_load(without)
-    if not paths:
+    written = write_days(rows.select(*schema.names, "snapshot_date"), feed.store)
+    # A day without rows is present if its file has a header, and failed if it is empty.
+    without = _paths_to_load(outcomes.where(~F.col("snapshot_date").isin(*written)))
+    if not without:
         return outcomes
-    return settle(fail_days(outcomes, unsound_days(spark, feed, paths)))
+    return settle(fail_days(outcomes, unsound_days(spark, feed, without)))
 
 
 def _paths_to_load(outcomes: DataFrame) -> list[str]:

@@ -14,7 +14,7 @@ from daybook.functions.text import line_label
 from daybook.operators.preview import first_snapshot_rows
 from daybook.plans.backfill import read_feed, snapshot_schema
 from daybook.sources.landing import landing_files
-from daybook.sources.lines import file_lines, number_across_parts
+from daybook.sources.lines import lines_across_parts, lines_of_file
 
 
 class Inspection(NamedTuple):
@@ -35,10 +35,11 @@ def inspect_snapshot(
     where = found.agg(F.min("path").alias("path"), F.min("file_path").alias("file")).first()
     if where.path is None:
         raise FileNotFoundError(f"{name} has not landed in {feed.landing}")
-    read_lines = file_lines if where.path == where.file else number_across_parts
-    lines = read_lines(spark, [where.path]).select(
-        "line_no", "line", line_label(F.col("line_no"), F.col("line")).alias("label")
-    )
+    if where.path == where.file:
+        lines = lines_of_file(spark, where.path)
+    else:
+        lines = lines_across_parts(spark, [where.path])
+    lines = lines.select("line_no", "line", line_label(F.col("line_no"), F.col("line")).alias("label"))
     schema = snapshot_schema(spark, feed, [where.path])
     rows = read_feed(spark, feed, schema, [where.path])
     return Inspection(lines, first_snapshot_rows(rows, n))

@@ -314,7 +314,7 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _once(spark, sf_dir, _text_landing)
-    numbered = lines.number_across_parts(spark, [folder])
+    numbered = lines.lines_across_parts(spark, [folder])
     day = F.regexp_extract("folder", r"day=([^/]+)$", 1)
     return numbered.select(day.alias("day"), "line_no", "line")
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -55,6 +56,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Rows of a path and a count, some 200 bytes each: 40 MB at most.
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Settle a table of short rows and broadcast it if its row count allows.
+
+    Beyond the limit the join is left to shuffle, with skew handled at run time.
+    """
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def read_or_empty(
     spark: SparkSession, schema: T.StructType | str, load: Callable[[], DataFrame]
 ) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from daybook.constants import FILE_SUFFIX
 from daybook.functions.intask import check_batches
 from daybook.functions.naming import day_in, day_path, file_name_in
 from daybook.session import read_or_empty
+from daybook.sources.snapshots import header_of
 
 FILE_SCHEMA = "file_name string, snapshot_date date, path string, file_path string, length bigint"
 CHECK_SCHEMA = (
@@ -84,7 +84,10 @@ def check_files(
     if not large:
         return checked
     broken = _unreadable(spark, [row.path for row in large])
-    rows = [(row.path, broken.get(row.path), None, None, None) for row in large]
+    rows = [
+        (path, broken.get(path), None if path in broken else header_of(spark, path, comment), None, None)
+        for (path,) in large
+    ]
     return checked.unionByName(spark.createDataFrame(rows, CHECK_SCHEMA))
 
 
@@ -92,7 +95,7 @@ def _unreadable(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """Files Spark's text reader cannot read to the end, found by halving the set."""
     try:
         spark.read.text(paths).agg(F.sum(F.length("value"))).collect()
-    except PySparkException as e:
+    except Exception as e:  # whatever the job died of, it is this set's fault or its only file's
         if len(paths) == 1:
             return {paths[0]: f"unreadable file: {str(e).splitlines()[0]}"}
         half = len(paths) // 2

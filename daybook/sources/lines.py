@@ -7,34 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.intask import number_batches
+from daybook.functions.intask import count_runs
 from daybook.functions.naming import part_number
-from daybook.functions.text import split_lines, strip
+from daybook.functions.text import line_pieces, strip
+from daybook.session import broadcast_if_small
 
 
 def text_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Numbered, stripped lines of a text column. No shuffle: a text is one row."""
-    lines = rows.select(key, F.posexplode(split_lines(F.col(text))).alias("at", "raw"))
-    return lines.select(
-        key, (F.col("at") + 1).cast("bigint").alias("line_no"), strip(F.col("raw")).alias("line")
+    split = rows.select(key, line_pieces(F.col(text)).alias("pieces"))
+    # Outer, as a plain explode adds a filter that would cut every text twice.
+    pieces = split.select(key, (F.size("pieces") - 1).alias("last"), F.posexplode_outer("pieces"))
+    no_line = F.col("pos").isNull() | ((F.col("pos") == F.col("last")) & (F.col("col") == ""))
+    return pieces.where(~no_line).select(
+        key, (F.col("pos") + 1).cast("bigint").alias("line_no"), strip(F.col("col")).alias("line")
     )
 
 
-def file_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Numbered, stripped lines of gzip files: ``file_path, line_no, line``.
+def lines_of_file(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered, stripped lines of one gzip file: ``line_no, line``.
 
-    A gzip file is never split, so one task sees all its lines in order and
-    counts them as they pass. No shuffle and no sort.
+    A gzip file is never split, so its lines are the one partition's rows and
+    their ids run from 0 without a gap.
+    """
+    line_no = F.monotonically_increasing_id() + 1
+    return spark.read.text(path).select(
+        line_no.alias("line_no"), strip(F.col("value")).alias("line")
+    )
+
+
+def lines_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines of many gzip files, numbered per file: ``file_path, line_no, line``.
+
+    One task sees all lines of a file in order and counts them as they pass,
+    so there is no shuffle and no sort, however large the file.
     """
     raw = spark.read.option("pathGlobFilter", "*.gz").text(list(paths))
-    numbered = raw.select("_metadata.file_path", "value").mapInArrow(
-        number_batches, "file_path string, line_no bigint, value string"
+    path = F.col("_metadata.file_path")
+    # Row order matters to the counter: nondeterministic keeps filters above it.
+    number = F.arrow_udf(count_runs, "bigint").asNondeterministic()
+    return raw.select(
+        path.alias("file_path"),
+        number(F.xxhash64(path)).alias("line_no"),
+        strip(F.col("value")).alias("line"),
     )
-    return numbered.select("file_path", "line_no", strip(F.col("value")).alias("line"))
 
 
-def number_across_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file_lines`` with one numbering per directory of part files.
+def lines_across_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines with one numbering per directory of part files: ``folder, line_no, line``.
 
     Each part starts where the parts before it end. What moves is one count
     per part; the lines themselves stay where they were read.
@@ -46,8 +66,8 @@ def number_across_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     before = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("file_path", F.coalesce(before, F.lit(0)).alias("before"))
     return (
-        file_lines(spark, paths)
-        .join(offsets, "file_path")
+        lines_of_files(spark, paths)
+        .join(broadcast_if_small(offsets), "file_path")
         .select(
             folder.alias("folder"), (F.col("line_no") + F.col("before")).alias("line_no"), "line"
         )

@@ -11,18 +11,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from daybook.constants import FILE_SUFFIX, NULL_TOKENS
-from daybook.functions.naming import day_in, part_number
+from daybook.functions.naming import part_number, scanned_day
 from daybook.functions.text import present
 
 CORRUPT = "_corrupt_record"
 
-# What the inferred types accept. A cast alone is too generous: it takes "1d" as a number.
+# What counts as a number. A cast alone is too generous, as it takes "1d", and
+# one that fails is slow; these patterns keep it to cells that will pass.
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 _BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def _csv_options(comment: str | None) -> dict:
+def csv_options(comment: str | None) -> dict:
     options = {
         "header": True,
         "escape": '"',
@@ -33,6 +34,11 @@ def _csv_options(comment: str | None) -> dict:
     return options | ({"comment": comment} if comment else {})
 
 
+def header_of(spark: SparkSession, path: str, comment: str | None = None) -> list[str]:
+    """Column names of one file; reads its first lines only."""
+    return spark.read.options(**csv_options(comment)).csv(path).columns
+
+
 def csv_cells(
     reader: DataFrameReader | DataStreamReader,
     schema: T.StructType,
@@ -42,7 +48,7 @@ def csv_cells(
     """A reader set to give every cell as text, and broken rows in ``CORRUPT``."""
     cells = [T.StructField(f.name, T.StringType()) for f in schema]
     return reader.options(
-        **_csv_options(comment),
+        **csv_options(comment),
         enforceSchema=not match_header,
         columnNameOfCorruptRecord=CORRUPT,
     ).schema(T.StructType([*cells, T.StructField(CORRUPT, T.StringType())]))
@@ -58,7 +64,7 @@ def typed_columns(schema: T.StructType, null_tokens: Sequence[str] = NULL_TOKENS
     ]
     return [
         *[value.alias(name) for name, value in values.items()],
-        day_in(F.col("_metadata.file_path")).alias("snapshot_date"),
+        scanned_day().alias("snapshot_date"),
         reduce(lambda a, b: a | b, wrong, F.col(CORRUPT).isNotNull()).alias("flagged"),
     ]
 
@@ -100,9 +106,10 @@ def infer_schema(
     """Column names from the header, column types from every cell.
 
     One pass that ends in one row: whole numbers, numbers, true/false, else text.
-    Dates stay text and a column without any value is a number, as in pandas.
+    Dates stay text and a column without any value is a number, as in pandas;
+    missing cells do not turn whole numbers or true/false into something else.
     """
-    raw = spark.read.options(**_csv_options(comment)).csv(list(paths))
+    raw = spark.read.options(**csv_options(comment)).csv(list(paths))
     row = raw.agg(*[_column_type(c, null_tokens).alias(c) for c in raw.columns]).first()
     return T.StructType([T.StructField(c, T.DataType.fromDDL(row[c])) for c in raw.columns])
 
@@ -112,15 +119,13 @@ def _column_type(name: str, tokens: Sequence[str]) -> Column:
     value = present(cell, tokens)
 
     def all_cells(test: Column) -> Column:
-        return F.coalesce(F.bool_and(test), F.lit(True))
+        return F.bool_and(F.when(value.isNotNull(), test))
 
     whole = value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull()
-    # A missing cell turns a true/false column into text.
-    boolean = F.coalesce(value.isin(*_BOOLEAN), F.lit(False))
     return (
         F.when(F.count(value) == 0, "double")
         .when(all_cells(whole), "bigint")
-        .when(all_cells(value.rlike(_NUMBER)), "double")
-        .when(all_cells(boolean), "boolean")
+        .when(all_cells(whole | value.rlike(_NUMBER)), "double")
+        .when(all_cells(value.isin(*_BOOLEAN)), "boolean")
         .otherwise("string")
     )

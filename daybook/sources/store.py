@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.session import read_or_empty
@@ -10,19 +13,22 @@ from daybook.session import read_or_empty
 DAY = T.StructField("snapshot_date", T.DateType())
 
 
-def write_days(rows: DataFrame, path: str) -> None:
-    """Write whole days; days not in ``rows`` are left alone.
+def write_days(rows: DataFrame, path: str) -> set[datetime.date]:
+    """Write whole days and tell which; days not in ``rows`` are left alone.
 
     Replacing a day's partition makes a retry after a crash harmless. Rows of a
     file already belong to one day, so they are written where they were read:
     a shuffle by day would only gather a large day into one task.
     """
+    seen = Observation()
     (
-        rows.write.mode("overwrite")
+        rows.observe(seen, F.collect_set("snapshot_date").alias("days"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date")
         .parquet(path)
     )
+    return set(seen.get["days"])
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
