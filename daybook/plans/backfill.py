@@ -14,7 +14,7 @@ from daybook.feed import Feed
 from daybook.functions.naming import file_name, file_name_in, with_names
 from daybook.operators.checks import day_content
 from daybook.operators.outcomes import day_outcomes, fail_days, pending_days
-from daybook.session import settle
+from daybook.session import setting, settle
 from daybook.sources import ledger as ledgers
 from daybook.sources.calendar import calendar
 from daybook.sources.errorlog import append_errors, error_entries
@@ -29,14 +29,20 @@ def backfill(
     start: datetime.date = EARLIEST_DAY,
     end: datetime.date | None = None,
     run: str | None = None,
+    verify: bool = False,
     strict: bool = False,
 ) -> DataFrame:
     """Load every pending day of the range that has landed; log the others.
 
     Returns one outcome row per day. Safe to run again at any time: loaded days
-    are skipped, failed days are tried again. ``strict`` also fails a day that
-    has flagged rows. The store is written first and the ledger last, so a run
-    that dies half way leaves its days pending, never wrongly present.
+    are skipped, failed days are tried again. The store is written first and
+    the ledger last, so a run that dies half way leaves its days pending, never
+    wrongly present.
+
+    Sound files are the rule, so by default they are read once, by the load
+    itself; only if that fails is each file checked and the rest loaded.
+    ``verify`` checks first, for sources that often deliver broken files.
+    ``strict`` also fails a day that has flagged rows.
     """
     run = run or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S.%fZ")
     names = with_names(calendar(spark, start, end), feed.prefix)
@@ -44,8 +50,13 @@ def backfill(
     # At most one name per calendar day comes to the driver, never rows or files.
     pending = [r.file_name for r in pending_days(names, loaded).select("file_name").collect()]
     landed = landed_days(landing_files(spark, feed.landing, feed.prefix, pending))
-    outcomes = settle(day_outcomes(names, loaded, landed, feed.base_url))
+    # A scan gets a task per 128 MB of files. The listing does not read the files,
+    # so a few tasks per core will do, not the hundreds of thousands of a load.
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
+        outcomes = settle(day_outcomes(names, loaded, landed, feed.base_url))
 
+    if verify:
+        outcomes = _drop_unsound(spark, feed, outcomes)
     outcomes = _load(spark, feed, outcomes, strict)
 
     append_errors(error_entries(outcomes.where(F.col("status") == FAILED)), feed.error_log, run)
@@ -59,19 +70,19 @@ def load_day(spark: SparkSession, feed: Feed, day: datetime.date, run: str | Non
 
 
 def _load(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -> DataFrame:
-    """Write the days to load; a day that cannot be loaded becomes a failure.
-
-    Sound files are the rule, so they are read once, by the load itself. Only
-    if that fails are the files checked one by one, and the rest loaded then.
-    """
+    """Write the days to load; a day that cannot be loaded becomes a failure."""
     try:
         return _write(spark, feed, outcomes, strict)
     except Exception:
-        paths = _paths_to_load(outcomes)
-        bad = settle(unsound_days(spark, feed, paths))
-        if bad.isEmpty():
+        rest = _drop_unsound(spark, feed, outcomes)
+        if rest is outcomes:
             raise
-        return _write(spark, feed, settle(fail_days(outcomes, bad)), strict)
+        return _write(spark, feed, rest, strict)
+
+
+def _drop_unsound(spark: SparkSession, feed: Feed, outcomes: DataFrame) -> DataFrame:
+    bad = settle(unsound_days(spark, feed, _paths_to_load(outcomes)))
+    return outcomes if bad.isEmpty() else settle(fail_days(outcomes, bad))
 
 
 def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -> DataFrame:
@@ -109,9 +120,15 @@ def snapshot_schema(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> T.
 
 
 def read_feed(
-    spark: SparkSession, feed: Feed, schema: T.StructType, paths: Sequence[str]
+    spark: SparkSession,
+    feed: Feed,
+    schema: T.StructType,
+    paths: Sequence[str],
+    positions: bool = False,
 ) -> DataFrame:
-    return read_snapshots(spark, paths, schema, feed.null_tokens, feed.comment, feed.match_header)
+    return read_snapshots(
+        spark, paths, schema, feed.null_tokens, feed.comment, feed.match_header, positions
+    )
 
 
 def flagged_days(
@@ -129,13 +146,15 @@ def unsound_days(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> DataF
     """Days with an unreadable part, no content or a foreign header: ``file_name, reason``."""
     if not paths:
         return spark.createDataFrame([], "file_name string, reason string")
-    names = feed.schema.names if feed.schema is not None and feed.match_header else None
-    header = F.transform("header", F.lower)
-    foreign = F.lit(False) if names is None else header != F.array(*[F.lit(n.lower()) for n in names])
-    parts = check_files(spark, paths, feed.comment).select(
+    checked = settle(check_files(spark, paths, feed.comment))
+    foreign = F.lit(False)
+    names = _expected_names(spark, feed, checked) if feed.match_header else None
+    if names:
+        foreign = F.transform("header", F.lower) != F.array(*[F.lit(n.lower()) for n in names])
+    parts = checked.select(
         file_name_in(F.col("file_path"), feed.prefix).alias("file_name"),
         "error",
-        "header",
+        F.coalesce(F.col("header").isNull() & F.col("error").isNull(), F.lit(False)).alias("empty"),
         F.when(foreign, F.concat(F.lit("unexpected header: "), F.array_join("header", ","))).alias(
             "foreign"
         ),
@@ -143,8 +162,18 @@ def unsound_days(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> DataF
     days = parts.groupBy("file_name").agg(
         F.coalesce(
             F.min("error"),
-            F.when(F.count("header") == 0, F.lit("empty file")),
+            F.when(F.bool_and("empty"), F.lit("empty file")),
             F.min("foreign"),
         ).alias("reason")
     )
     return days.where(F.col("reason").isNotNull())
+
+
+def _expected_names(spark: SparkSession, feed: Feed, checked: DataFrame) -> list[str] | None:
+    """Header names of the given columns, else of the store, else of the first sound file."""
+    schema = feed.schema or stored_schema(spark, feed.store)
+    if schema is not None:
+        return schema.names
+    sound = checked.where(F.col("error").isNull() & F.col("header").isNotNull())
+    first = sound.orderBy("file_path").first()
+    return first and first.header

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.constants import FILE_SUFFIX, PREVIEW_ROWS
 from daybook.feed import Feed
+from daybook.functions.naming import part_number
 from daybook.functions.text import line_label
 from daybook.operators.preview import first_snapshot_rows
 from daybook.plans.backfill import read_feed, snapshot_schema
@@ -29,17 +30,41 @@ def inspect_snapshot(
 
     The lines are not sorted: their numbers say where they belong.
     """
+    parts = _parts(spark, feed, day)
+    path, file = parts.select("path", "file_path").first()
+    if path == file:
+        lines = lines_of_file(spark, path)
+    else:
+        lines = lines_across_parts(spark, [path])
+    label = line_label(F.col("line_no"), F.col("line"))
+    return Inspection(
+        lines.select("line_no", "line", label.alias("label")), _preview(spark, feed, parts, n)
+    )
+
+
+def preview_snapshot(
+    spark: SparkSession, feed: Feed, day: datetime.date, n: int = PREVIEW_ROWS
+) -> DataFrame:
+    """The first ``n`` rows of the day's snapshot, in file order."""
+    return _preview(spark, feed, _parts(spark, feed, day), n)
+
+
+def _parts(spark: SparkSession, feed: Feed, day: datetime.date) -> DataFrame:
+    """Files of the day in their order; one unless the day is a directory of parts."""
     name = f"{feed.prefix}-{day.isoformat()}{FILE_SUFFIX}"
     found = landing_files(spark, feed.landing, feed.prefix, [name])
-    # One row: is it a single file, or a directory of parts?
-    where = found.agg(F.min("path").alias("path"), F.min("file_path").alias("file")).first()
-    if where.path is None:
+    if found.isEmpty():
         raise FileNotFoundError(f"{name} has not landed in {feed.landing}")
-    if where.path == where.file:
-        lines = lines_of_file(spark, where.path)
-    else:
-        lines = lines_across_parts(spark, [where.path])
-    lines = lines.select("line_no", "line", line_label(F.col("line_no"), F.col("line")).alias("label"))
-    schema = snapshot_schema(spark, feed, [where.path])
-    rows = read_feed(spark, feed, schema, [where.path])
-    return Inspection(lines, first_snapshot_rows(rows, n))
+    return found.orderBy(part_number(F.col("file_path")), "file_path")
+
+
+def _preview(spark: SparkSession, feed: Feed, parts: DataFrame, n: int) -> DataFrame:
+    """Read the first part, and more of them only while the rows do not suffice."""
+    take = 1
+    while True:
+        paths = [r.file_path for r in parts.limit(take).collect()]
+        schema = snapshot_schema(spark, feed, paths)
+        rows = first_snapshot_rows(read_feed(spark, feed, schema, paths, positions=True), n)
+        if len(paths) < take or rows.count() >= n:
+            return rows
+        take *= 8

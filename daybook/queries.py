@@ -30,6 +30,7 @@ from daybook.functions.naming import (
 from daybook.functions.text import line_label
 from daybook.operators import checks, outcomes, preview
 from daybook.plans.backfill import backfill, load_day
+from daybook.plans.inspection import preview_snapshot
 from daybook.session import scratch, settle
 from daybook.sources import calendar, errorlog, landing, ledger, lines, snapshots, store
 from daybook.streaming.catchup import catch_up
@@ -186,8 +187,8 @@ def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # Both sides come from the same distinct days, so orders is scanned once.
-    days = _order_days(spark, sf_dir)
+    # Both sides need the distinct days: settled, so that orders is scanned once.
+    days = settle(_order_days(spark, sf_dir))
     return with_names(calendar.spanned_days(days), "orders"), with_names(days, "orders")
 
 
@@ -320,9 +321,8 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _once(spark, sf_dir, _landing)
-    path = landing.landing_files(spark, folder, PREFIX).agg(F.min("path")).first()[0]
-    return preview.first_snapshot_rows(snapshots.read_snapshots(spark, [path], EVENTS))
+    feed = _feed(spark, "preview", _once(spark, sf_dir, _landing))
+    return preview_snapshot(spark, feed, FIRST_DAY)
 
 
 def event_preview(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions inside the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 # Rows of a path and a count, some 200 bytes each: 40 MB at most.
 SMALL_ROWS = 200_000
 
@@ -72,10 +84,10 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def read_or_empty(
     spark: SparkSession, schema: T.StructType | str, load: Callable[[], DataFrame]
 ) -> DataFrame:
-    """``load()``, or no rows of ``schema`` where the path does not exist yet."""
+    """``load()``, or no rows of ``schema`` where the path holds nothing yet."""
     try:
         return load()
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)

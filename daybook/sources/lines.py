@@ -64,11 +64,11 @@ def lines_across_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     counts = raw.groupBy(F.col("_metadata.file_path").alias("file_path")).count()
     order = Window.partitionBy(folder).orderBy(part_number(F.col("file_path")), "file_path")
     before = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("file_path", F.coalesce(before, F.lit(0)).alias("before"))
+    offsets = counts.select(
+        "file_path", folder.alias("folder"), F.coalesce(before, F.lit(0)).alias("before")
+    )
     return (
         lines_of_files(spark, paths)
         .join(broadcast_if_small(offsets), "file_path")
-        .select(
-            folder.alias("folder"), (F.col("line_no") + F.col("before")).alias("line_no"), "line"
-        )
+        .select("folder", (F.col("line_no") + F.col("before")).alias("line_no"), "line")
     )

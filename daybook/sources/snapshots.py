@@ -76,20 +76,21 @@ def read_snapshots(
     null_tokens: Sequence[str] = NULL_TOKENS,
     comment: str | None = None,
     match_header: bool = True,
+    positions: bool = False,
 ) -> DataFrame:
     """The snapshots at ``paths`` with the caller's columns and types.
 
-    Adds ``snapshot_date`` from the file name, ``flagged`` for a row with too
-    many or too few fields or a cell that is not of its type, and the position
-    columns ``part`` and ``pos``, which sort in file order.
+    Adds ``snapshot_date`` from the file name, and ``flagged`` for a row with
+    too many or too few fields or a cell that is not of its type. With
+    ``positions`` also ``part`` and ``pos``, which sort in file order.
     """
     raw = csv_cells(spark.read, schema, comment, match_header).csv(list(paths))
-    path = F.col("_metadata.file_path")
-    return raw.select(
-        *typed_columns(schema, null_tokens),
-        F.struct(part_number(path).alias("number"), path.alias("path")).alias("part"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+    columns = typed_columns(schema, null_tokens)
+    if positions:
+        path = F.col("_metadata.file_path")
+        part = F.struct(part_number(path).alias("number"), path.alias("path"))
+        columns += [part.alias("part"), F.monotonically_increasing_id().alias("pos")]
+    return raw.select(*columns)
 
 
 def _typed(cell: Column, data_type: T.DataType, tokens: Sequence[str]) -> Column:

@@ -11,24 +11,28 @@ from daybook.functions.naming import file_name_in
 from daybook.sources.snapshots import csv_cells, typed_columns
 
 
-def landing_stream(spark: SparkSession, feed: Feed) -> DataFrame:
+def landing_stream(spark: SparkSession, feed: Feed, files_per_batch: int) -> DataFrame:
     """Rows of the feed's snapshots as their files arrive."""
     if feed.schema is None:
         raise ValueError("a stream needs the snapshot schema")
     reader = csv_cells(spark.readStream, feed.schema, feed.comment, feed.match_header)
-    raw = reader.option("recursiveFileLookup", True).csv(feed.landing)
+    reader = reader.options(recursiveFileLookup=True, maxFilesPerTrigger=files_per_batch)
+    raw = reader.csv(feed.landing)
     ours = file_name_in(F.col("_metadata.file_path"), feed.prefix).isNotNull()
     return raw.where(ours).select(*typed_columns(feed.schema, feed.null_tokens))
 
 
-def catch_up(spark: SparkSession, feed: Feed, progress: str) -> StreamingQuery:
+def catch_up(
+    spark: SparkSession, feed: Feed, progress: str, files_per_batch: int = 10_000
+) -> StreamingQuery:
     """Append what is new to ``feed.store`` and stop.
 
     ``progress`` is the query's checkpoint directory; it remembers the files
-    already taken. The stream sees files, not days, so it cannot report a day
-    that is missing: that is what the backfill is for. Give it a store of its own.
+    already taken, batch by batch. The stream sees files, not days: it cannot
+    report a missing day, and a broken file stops it. The backfill does both
+    better. Give the stream a store of its own.
     """
-    rows = landing_stream(spark, feed).select(*feed.schema.names, "snapshot_date")
+    rows = landing_stream(spark, feed, files_per_batch).select(*feed.schema.names, "snapshot_date")
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")

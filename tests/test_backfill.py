@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import daybook.plans.backfill as backfill_module
 from daybook import Feed, backfill, inspect_snapshot, load_day
 from daybook.operators.checks import compare_days, daily_counts
 from daybook.plans.backfill import read_feed, unsound_days
@@ -166,6 +167,32 @@ def test_header_of_another_schema_fails_that_day(site):
     assert site.store() == rows_of(1)
 
 
+def test_headers_are_compared_without_a_given_schema_too(site):
+    site.feed = replace(site.feed, schema=None)
+    site.land(1)
+    site.land(2, text="id,n\na,1\n")
+    found = site.run("r1")
+    assert statuses(found) == "LFFFFF"
+    assert found[2].error == "unexpected header: id,n"
+    site.land(3, text="x,y,z\na,1,1\n")
+    assert statuses(site.run("r2")) == "SFFFFF"
+    assert len(site.spark.read.parquet(site.feed.store).collect()) == 2
+
+
+def test_verify_checks_before_the_load(site, monkeypatch):
+    site.land(1)
+    site.land(2, raw=b"junk")
+    loads = []
+    write = backfill_module.write_days
+    monkeypatch.setattr(backfill_module, "write_days", lambda *a: loads.append(1) or write(*a))
+    assert statuses(site.run("r1", verify=True)) == "LFFFFF"
+    assert loads == [1]
+    site.land(2, raw=b"junk again")
+    site.land(3)
+    assert statuses(site.run("r2")) == "SFLFFF"
+    assert loads == [1, 1, 1]
+
+
 def test_header_names_can_be_ignored(site):
     site.feed = replace(site.feed, match_header=False)
     site.land(1, text="a,b,c\na1,0.1,1\nb1,1.5,\n")
@@ -365,6 +392,16 @@ def test_inspect_a_day_of_parts(site):
     assert [r.id for r in preview.collect()] == ["00000", "00001"]
 
 
+def test_preview_reads_on_until_it_has_enough(site):
+    for part in range(12):
+        rows = "".join(f"{part}-{i},1,1\n" for i in range(part % 3))
+        site.land(1, part=f"part-{part:05d}-u.csv.gz", text="id,score,n\n" + rows)
+    _, preview = inspect_snapshot(site.spark, site.feed, day(1), n=4)
+    assert [r.id for r in preview.collect()] == ["1-0", "2-0", "2-1", "4-0"]
+    _, preview = inspect_snapshot(site.spark, site.feed, day(1), n=99)
+    assert preview.count() == 12
+
+
 def test_inspect_an_absent_day(site):
     with pytest.raises(FileNotFoundError):
         inspect_snapshot(site.spark, site.feed, day(1))
