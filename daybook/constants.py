@@ -14,7 +14,7 @@ FILE_SUFFIX = ".csv.gz"
 NOT_FOUND_TEXT = "404 Client Error: Not Found for url: "
 
 # Line numbers start at 1 and a printed line reads "Line <n>: <text>".
-LINE_LABEL = "Line %d: %s"
+LINE_LABEL = ("Line ", ": ")
 
 # Cell texts that mean "missing" (the pandas.read_csv defaults).
 NULL_TOKENS = (

@@ -26,7 +26,8 @@ def _printable(byte: Column) -> Column:
 
 
 def line_label(line_no: Column, line: Column) -> Column:
-    return F.format_string(LINE_LABEL, line_no, line)
+    before, between = LINE_LABEL
+    return F.concat(F.lit(before), line_no.cast("string"), F.lit(between), line)
 
 
 def line_pieces(text: Column) -> Column:
