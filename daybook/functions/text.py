@@ -42,6 +42,6 @@ def line_pieces(text: Column) -> Column:
     return F.split(F.when(single, unified).otherwise(text), "\n")
 
 
-def present(cell: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
+def present(cell: Column, tokens: Sequence[str | Column] = NULL_TOKENS) -> Column:
     """The cell, or null where its text stands for a missing value."""
     return F.when(~cell.isin(*tokens), cell) if tokens else cell

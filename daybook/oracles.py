@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
         {_STORE} WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)
         ORDER BY event_id LIMIT 100
     """,
-    "event_preview": "SELECT * FROM events ORDER BY event_id LIMIT 100",
+    "preview": "SELECT * FROM events ORDER BY event_id LIMIT 100",
     "daily_counts": """
         SELECT CAST(ts AS DATE) AS snapshot_date, count(*) AS rows FROM events GROUP BY 1
     """,

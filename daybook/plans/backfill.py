@@ -81,7 +81,7 @@ def _load(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) ->
 
 
 def _drop_unsound(spark: SparkSession, feed: Feed, outcomes: DataFrame) -> DataFrame:
-    bad = settle(unsound_days(spark, feed, _paths_to_load(outcomes)))
+    bad = settle(unsound_days(spark, feed, list(_paths_to_load(outcomes).values())))
     return outcomes if bad.isEmpty() else settle(fail_days(outcomes, bad))
 
 
@@ -89,25 +89,26 @@ def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -
     paths = _paths_to_load(outcomes)
     if not paths:
         return outcomes
-    schema = snapshot_schema(spark, feed, paths)
+    schema = snapshot_schema(spark, feed, list(paths.values()))
     if strict:
-        bad = settle(flagged_days(spark, feed, schema, paths))
+        bad = settle(flagged_days(spark, feed, schema, list(paths.values())))
         outcomes = settle(fail_days(outcomes, bad))
         paths = _paths_to_load(outcomes)
         if not paths:
             return outcomes
-    rows = read_feed(spark, feed, schema, paths)
+    rows = read_feed(spark, feed, schema, list(paths.values()))
     written = write_days(rows.select(*schema.names, "snapshot_date"), feed.store)
     # A day without rows is present if its file has a header, and failed if it is empty.
-    without = _paths_to_load(outcomes.where(~F.col("snapshot_date").isin(*written)))
+    without = [path for day, path in paths.items() if day not in written]
     if not without:
         return outcomes
     return settle(fail_days(outcomes, unsound_days(spark, feed, without)))
 
 
-def _paths_to_load(outcomes: DataFrame) -> list[str]:
-    """At most one path per calendar day."""
-    return [r.path for r in outcomes.where(F.col("status") == LOADED).select("path").collect()]
+def _paths_to_load(outcomes: DataFrame) -> dict[datetime.date, str]:
+    """The path of each day to load: at most one per calendar day."""
+    rows = outcomes.where(F.col("status") == LOADED).select("snapshot_date", "path").collect()
+    return {r.snapshot_date: r.path for r in rows}
 
 
 def snapshot_schema(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> T.StructType:

@@ -28,7 +28,8 @@ from daybook.functions.naming import (
     with_names,
 )
 from daybook.functions.text import line_label
-from daybook.operators import checks, outcomes, preview
+from daybook.operators import checks, outcomes
+from daybook.operators.preview import first_rows
 from daybook.plans.backfill import backfill, load_day
 from daybook.plans.inspection import preview_snapshot
 from daybook.session import scratch, settle
@@ -325,8 +326,8 @@ def snapshot_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview_snapshot(spark, feed, FIRST_DAY)
 
 
-def event_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview.first_rows(_table(spark, sf_dir, "events"), "event_id")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_rows(_table(spark, sf_dir, "events"), "event_id")
 
 
 # --- checks ------------------------------------------------------------------
@@ -393,7 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_labels,
         file_lines,
         snapshot_preview,
-        event_preview,
+        preview,
         daily_counts,
         sample_check,
         day_check,

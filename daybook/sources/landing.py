@@ -29,20 +29,25 @@ def landing_files(
 ) -> DataFrame:
     """One row per file of a snapshot; the bytes are not read.
 
-    ``names`` limits the listing to those snapshots. The filter uses file
-    metadata only, so other files are dropped before any task is planned.
+    With ``names`` the folder itself is listed once and only the directories of
+    those snapshots are looked into, so years of older days cost next to nothing.
     """
+    if names is not None and not names:
+        return spark.createDataFrame([], FILE_SCHEMA)
+    path = folder.rstrip("/")
+    if names is not None:
+        path = f"{path}/{{,file_name=}}{{{','.join(names)}}}"
 
     def load() -> DataFrame:
         found = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", f"*{FILE_SUFFIX}")
             .option("recursiveFileLookup", True)
-            .load(folder)
+            .load(path)
         )
+        # A filter on file metadata drops other files before tasks are planned.
         name = file_name_in(F.col("_metadata.file_path"), prefix)
-        wanted = name.isNotNull() if names is None else name.isin(*names)
-        return found.where(wanted).select(
+        return found.where(name.isNotNull()).select(
             name.alias("file_name"),
             day_in(name).alias("snapshot_date"),
             day_path(F.col("path"), prefix).alias("path"),

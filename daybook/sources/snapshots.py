@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -56,17 +55,15 @@ def csv_cells(
 
 def typed_columns(schema: T.StructType, null_tokens: Sequence[str] = NULL_TOKENS) -> list[Column]:
     """The caller's columns, ``snapshot_date`` and ``flagged`` from text cells."""
-    values = {f.name: _typed(F.col(f"`{f.name}`"), f.dataType, null_tokens) for f in schema}
-    wrong = [
-        present(F.col(f"`{f.name}`"), null_tokens).isNotNull() & values[f.name].isNull()
-        for f in schema
-        if f.dataType != T.StringType()
-    ]
-    return [
-        *[value.alias(name) for name, value in values.items()],
-        scanned_day().alias("snapshot_date"),
-        reduce(lambda a, b: a | b, wrong, F.col(CORRUPT).isNotNull()).alias("flagged"),
-    ]
+    tokens = [F.lit(token) for token in null_tokens]
+    columns, flagged = [], F.col(CORRUPT).isNotNull()
+    for field in schema:
+        value = present(F.col(f"`{field.name}`"), tokens)
+        if field.dataType != T.StringType():
+            text, value = value, value.try_cast(field.dataType)
+            flagged |= text.isNotNull() & value.isNull()
+        columns.append(value.alias(field.name))
+    return [*columns, scanned_day().alias("snapshot_date"), flagged.alias("flagged")]
 
 
 def read_snapshots(
@@ -93,11 +90,6 @@ def read_snapshots(
     return raw.select(*columns)
 
 
-def _typed(cell: Column, data_type: T.DataType, tokens: Sequence[str]) -> Column:
-    value = present(cell, tokens)
-    return value if data_type == T.StringType() else value.try_cast(data_type)
-
-
 def infer_schema(
     spark: SparkSession,
     paths: Sequence[str],
@@ -111,11 +103,12 @@ def infer_schema(
     missing cells do not turn whole numbers or true/false into something else.
     """
     raw = spark.read.options(**csv_options(comment)).csv(list(paths))
-    row = raw.agg(*[_column_type(c, null_tokens).alias(c) for c in raw.columns]).first()
+    tokens = [F.lit(token) for token in null_tokens]
+    row = raw.agg(*[_column_type(c, tokens).alias(c) for c in raw.columns]).first()
     return T.StructType([T.StructField(c, T.DataType.fromDDL(row[c])) for c in raw.columns])
 
 
-def _column_type(name: str, tokens: Sequence[str]) -> Column:
+def _column_type(name: str, tokens: Sequence[Column]) -> Column:
     cell = F.col(f"`{name}`")
     value = present(cell, tokens)
 

@@ -200,6 +200,33 @@ def test_header_names_can_be_ignored(site):
     assert site.store() == rows_of(1)
 
 
+def test_only_header_only_days(site):
+    site.land(1, text="id,score,n\n")
+    assert statuses(site.run("r1")) == "LFFFFF"
+    assert statuses(site.run("r2")) == "SFFFFF"
+
+
+def test_byte_order_mark(site):
+    site.land(1, text="\ufeffid,score,n\na1,0.1,1\nb1,1.5,\n")
+    site.land(2)
+    assert statuses(site.run("r1")) == "LLFFFF"
+    assert site.store() == rows_of(1, 2)
+
+
+def test_header_with_other_quoting_and_line_ends(site):
+    site.land(1, text='"id","score",N\r\na1,0.1,1\r\nb1,1.5,\r\n')
+    assert statuses(site.run("r1")) == "LFFFFF"
+    assert site.store() == rows_of(1)
+
+
+def test_several_gzip_members_in_a_file(site):
+    parts = ["id,score,n\n", "a1,0.1,1\n", "b1,1.5,\n"]
+    site.land(1, raw=b"".join(gzip.compress(p.encode()) for p in parts))
+    site.land(2, raw=b"junk")
+    assert statuses(site.run("r1")) == "LFFFFF"
+    assert site.store() == rows_of(1)
+
+
 def test_comment_line_before_the_header(site):
     text = "#v:1,date:2024-01-01\nid,score,n\na1,0.1,1\nb1,1.5,\n"
     site.land(1, text=text)

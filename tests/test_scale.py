@@ -108,7 +108,7 @@ def test_broadcast_stops_at_the_limit(spark, monkeypatch):
 
 
 def test_top_rows_are_kept_per_task(spark):
-    assert "TakeOrderedAndProject" in plan(queries.event_preview(spark, SF_DIR))
+    assert "TakeOrderedAndProject" in plan(queries.preview(spark, SF_DIR))
 
 
 def test_outcomes_do_not_change_after_the_run(spark, skewed):
