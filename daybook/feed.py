@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from daybook.constants import NULL_TOKENS
 
 
+# The store's partition column, and what reading a snapshot adds to its columns.
+RESERVED = {"snapshot_date", "flagged", "part", "pos", "_corrupt_record"}
+
+
 @dataclass(frozen=True)
 class Feed:
     """One family of files ``<prefix>-YYYY-MM-DD.csv.gz`` and its tables.
@@ -36,5 +40,6 @@ class Feed:
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", self.prefix):
             raise ValueError(f"prefix {self.prefix!r} is not a plain file name part")
-        if self.schema is not None and "snapshot_date" in self.schema.names:
-            raise ValueError("snapshot_date is the store's partition column")
+        taken = {n.lower() for n in self.schema.names} & RESERVED if self.schema else set()
+        if taken:
+            raise ValueError(f"columns {sorted(taken)} have a meaning of their own here")

@@ -14,5 +14,4 @@ def first_rows(rows: DataFrame, *order: str, n: int = PREVIEW_ROWS) -> DataFrame
 
 def first_snapshot_rows(snapshot: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first ``n`` rows of a snapshot in file order, parts in their order."""
-    data = [c for c in snapshot.columns if c not in ("flagged", "part", "pos")]
-    return first_rows(snapshot, "part", "pos", n=n).select(*data)
+    return first_rows(snapshot, "part", "pos", n=n).drop("flagged", "part", "pos")

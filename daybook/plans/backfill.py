@@ -97,7 +97,7 @@ def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -
         if not paths:
             return outcomes
     rows = read_feed(spark, feed, schema, list(paths.values()))
-    written = write_days(rows.select(*schema.names, "snapshot_date"), feed.store)
+    written = write_days(rows.drop("flagged"), feed.store)
     # A day without rows is present if its file has a header, and failed if it is empty.
     without = [path for day, path in paths.items() if day not in written]
     if not without:

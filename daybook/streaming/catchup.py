@@ -32,7 +32,7 @@ def catch_up(
     report a missing day, and a broken file stops it. The backfill does both
     better. Give the stream a store of its own.
     """
-    rows = landing_stream(spark, feed, files_per_batch).select(*feed.schema.names, "snapshot_date")
+    rows = landing_stream(spark, feed, files_per_batch).drop("flagged")
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")

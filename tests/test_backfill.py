@@ -227,6 +227,21 @@ def test_several_gzip_members_in_a_file(site):
     assert site.store() == rows_of(1)
 
 
+def test_any_column_name(site):
+    schema = T.StructType().add("a.b", T.LongType()).add("c d", T.StringType()).add("É(x)", T.DoubleType())
+    text = "a.b,c d,É(x)\n1,x,0.5\n"
+    site.land(1, text=text)
+    for given in (schema, None):
+        feed = replace(site.feed, schema=given, store=f"{site.root}/s{given is None}",
+                       ledger=f"{site.root}/l{given is None}")
+        assert load_day(site.spark, feed, day(1), "r1").first().status == "LOADED"
+        assert tuple(site.spark.read.parquet(feed.store).first()) == (1, "x", 0.5, day(1))
+        _, preview = inspect_snapshot(site.spark, feed, day(1))
+        assert preview.columns == ["a.b", "c d", "É(x)", "snapshot_date"]
+        strict = replace(feed, ledger=feed.ledger + "2")
+        assert backfill(site.spark, strict, day(1), day(1), "r", strict=True).first().status == "LOADED"
+
+
 def test_comment_line_before_the_header(site):
     text = "#v:1,date:2024-01-01\nid,score,n\na1,0.1,1\nb1,1.5,\n"
     site.land(1, text=text)
