@@ -104,22 +104,33 @@ def infer_schema(
     """
     raw = spark.read.options(**csv_options(comment)).csv(list(paths))
     tokens = [F.lit(token) for token in null_tokens]
-    row = raw.agg(*[_column_type(c, tokens).alias(c) for c in raw.columns]).first()
-    return T.StructType([T.StructField(c, T.DataType.fromDDL(row[c])) for c in raw.columns])
+    kinds = raw.select(*[_kind(F.col(f"`{c}`"), tokens).alias(c) for c in raw.columns])
+    cells = [F.col(f"`{c}`") for c in raw.columns]
+    spans = kinds.agg(*[F.struct(F.min(c), F.max(c)) for c in cells]).first()
+    return T.StructType(
+        [T.StructField(c, _column_type(*span)) for c, span in zip(raw.columns, spans)]
+    )
 
 
-def _column_type(name: str, tokens: Sequence[Column]) -> Column:
-    cell = F.col(f"`{name}`")
-    value = present(cell, tokens)
+# What one cell could be. A whole number is a number, so their order matters.
+_WHOLE, _DECIMAL, _TRUTH, _TEXT = range(4)
 
-    def all_cells(test: Column) -> Column:
-        return F.bool_and(F.when(value.isNotNull(), test))
 
-    whole = value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull()
+def _kind(cell: Column, tokens: Sequence[Column]) -> Column:
+    value = present(cell, tokens)
     return (
-        F.when(F.count(value) == 0, "double")
-        .when(all_cells(whole), "bigint")
-        .when(all_cells(whole | value.rlike(_NUMBER)), "double")
-        .when(all_cells(value.isin(*_BOOLEAN)), "boolean")
-        .otherwise("string")
+        F.when(value.isNull(), F.lit(None))
+        .when(value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull(), _WHOLE)
+        .when(value.rlike(_NUMBER), _DECIMAL)
+        .when(value.isin(*_BOOLEAN), _TRUTH)
+        .otherwise(_TEXT)
     )
+
+
+def _column_type(low: int | None, high: int | None) -> T.DataType:
+    """The type that holds every kind between the lowest and the highest seen."""
+    if high is None or high == _DECIMAL:
+        return T.DoubleType()
+    if high == _WHOLE:
+        return T.LongType()
+    return T.BooleanType() if low == high == _TRUTH else T.StringType()
