@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, language, packing, sharding, simhash, warc
+from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, warc
 from daybook.session import scratch
 
 
@@ -21,6 +21,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(_documents(spark, sf_dir), max_edits=1, min_chars=20)
+    return left.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_tree(_documents(spark, sf_dir), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -38,16 +43,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(_documents(spark, sf_dir), length=200)
+    return cut.select("doc_id", "n_bytes", repeats.removed_bytes().alias("n_removed"),
+                      F.size("begins").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, least_bytes=1000)
     return warc.page_records(warc.read_archives(spark, path, payload=False))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ordermin.fingerprint_edits(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _vocabulary(), packing.Capacity(tokens=4096), end_id=1)
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -58,10 +79,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_kd_shards, op3_bpe_codec, op4_simhash, op6_warc, op8_best_fit_packing, op10_language_id)
+        op1_line_dedup, op2_kd_shards, op3_bpe_codec, op4_simhash, op5_suffix_dedup, op6_warc, op7_order_minhash, op8_best_fit_packing, op9_nn_descent, op10_language_id)
 }
 
 ORACLES = {
+    "op1_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no
+            FROM documents),
+        d AS (
+            SELECT line, min({'d': doc_id, 'n': no}) AS f, length(line) AS n
+            FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY line),
+        k AS (
+            SELECT *, n + e AS m, w,
+                   CASE WHEN w = 0 THEN substr(line, 1, (n + e) // 2)
+                        ELSE substr(line, n - (n + e - (n + e) // 2) + 1) END AS piece
+            FROM d, (VALUES (0), (1)) AS x(e), (VALUES (0), (1)) AS y(w) WHERE n >= 20),
+        p AS (
+            SELECT DISTINCT a.line AS line, b.line AS other, a.n AS n, b.n AS o
+            FROM k a JOIN k b ON a.m = b.m AND a.w = b.w AND a.piece = b.piece
+            WHERE b.f < a.f AND abs(a.n - b.n) <= 1),
+        near AS (
+            SELECT DISTINCT line FROM p
+            WHERE len(list_filter(range(1, greatest(n, o) + 1), lambda i:
+                substr(line, 1, i - 1) || substr(line, CASE WHEN n >= o THEN i + 1 ELSE i END)
+                = substr(other, 1, i - 1) || substr(other, CASE WHEN o >= n THEN i + 1 ELSE i END))) > 0),
+        j AS (
+            SELECT l.*, d.line IS NOT NULL AND (near.line IS NOT NULL OR d.f <> {'d': l.doc_id, 'n': l.no})
+                   AS gone
+            FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line)
+        SELECT x.doc_id, CASE WHEN x.text IS NULL THEN 0 ELSE count(*) END AS n_lines,
+               count(*) FILTER (gone) AS n_dropped,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_md5
+        FROM j JOIN documents x ON j.doc_id = x.doc_id GROUP BY x.doc_id, x.text""",
     "op6_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n,
