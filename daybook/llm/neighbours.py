@@ -161,12 +161,13 @@ def _round(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
     def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, worsts = (c.flatten().to_numpy() for c in (part.column(0), part.column(2)))
-            vectors = _matrix(part.column(1).flatten())
+            data = part.column(1).flatten()  # of one length within a list
             ends = np.cumsum(part.column(0).value_lengths().to_numpy())
             found: list[tuple] = []
             held = 0
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                s = vectors[a:b] @ vectors[a:b].T
+                vectors = _matrix(data.slice(a, b - a))
+                s = vectors @ vectors.T
                 np.fill_diagonal(s, -3)
                 i, j = np.nonzero(s > worsts[a:b, None] + 1e-6)
                 found.append((ids[a:b][i], ids[a:b][j], s[i, j]))

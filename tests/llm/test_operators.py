@@ -1,0 +1,421 @@
+"""Each operator against brute force on small tables that hold the awkward cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from daybook.llm import (
+    bpe,
+    components,
+    language,
+    lines,
+    neighbours,
+    ordermin,
+    packing,
+    repeats,
+    sharding,
+    simhash,
+    suffixes,
+    warc,
+)
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, th int, key string, data int"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice(["an", "the", "or", "ti", "ea", "ß", "é"]) for _ in range(rng.randint(1, 4)))
+                    for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts by row: copies, near copies, shared passages, empty, null, long, periodic; clashing columns."""
+    rng = random.Random(3)
+    base = [words(rng, rng.randint(1, 80)) for _ in range(25)]
+    shared = words(rng, 90)
+    texts = [*base, *base[:4], base[0] + " more", base[1].replace("an", "or", 1), None, "", "   \n\t ", "1 2 3 !",
+             "x", "ab cd", shared, base[5] + "\n" + shared + "\n" + base[6], shared + " tail " + base[7],
+             "Rarr " * 300, "Rarr " * 120 + "end", "One Line, two lines\n" + base[8] + "\n" + base[8],
+             "<|endoftext|> and İstanbul Σίσυφος 中文\x1c字 it's", words(rng, 3000)]
+    out = [(i, t, rng.choice(["a", "b", None]), rng.choice(["s", None, "t" * 9]), None, "x", 1, "k", 2)
+           for i, t in enumerate(texts)]
+    out += [(None, base[2], "a", None, 1, "x", 1, "k", 2), (None, None, None, None, None, None, None, None, None),
+            out[3], (3, base[9], "b", "s", 1, "x", 1, "k", 2)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- encoding and packing ----------------------------------------------------
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(VOCABULARY)
+    own.no_truncation()
+    own.no_padding()
+    ids = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    return ids, [own.decode(i, skip_special_tokens=False) for i in ids]
+
+
+def test_encoding_is_the_librarys(docs, rows):
+    ids, decoded = library([r[1] or "" for r in rows])
+    want = sorted((-1 if r[0] is None else r[0], len(i), " ".join(map(str, i)), d)
+                  for r, i, d in zip(rows, ids, decoded, strict=True))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids, r.decoded)
+                 for r in bpe.encode_decode(docs, VOCABULARY).collect())
+    assert got == want
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 10)
+    own = bpe.Codec(VOCABULARY, bpe._texts_of)
+    for at in range(5):
+        list(own.rendered([f"w{at}x{i}" for i in range(8)]))
+    assert len(own.kept) <= 16
+
+
+def test_packing(docs, rows):
+    got = packing.pack(docs, VOCABULARY, packing.Capacity(tokens=256)).collect()
+    ids, _ = library([r[1] or "" for r in rows])
+    whole = sorted(zlib.crc32(np.array([*i, 1][s:s + 256], "<u4").tobytes())
+                   for i in ids for s in range(0, len(i) + 1, 256))
+    assert sorted(r.ids_crc32 for r in got) == whole
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    total = sum(len(i) + 1 for i in ids)
+    assert len(by) <= -(-total // 256) + 1
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_fit_keeps_every_constraint(score):
+    rng = np.random.default_rng(1)
+    lengths = np.sort(rng.integers(1, 60, 500))[::-1]
+    own = packing.Capacity(tokens=64, documents=3, cost=2000 + 1600, weights=(1, 0.5, 0.5), score=score)
+    number, offset = packing.fit(lengths, own)
+    for k in np.unique(number):
+        mine = lengths[number == k]
+        assert mine.sum() <= 64 and len(mine) <= 3 and (mine**2).sum() <= 3600
+        assert sorted(offset[number == k]) == sorted(np.r_[0, np.cumsum(mine[np.argsort(offset[number == k])])[:-1]])
+
+
+# --- line dedup --------------------------------------------------------------
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def test_lines_against_all_pairs(spark):
+    rng = random.Random(4)
+    base = [words(rng, 6)[:rng.randint(1, 150)] for _ in range(30)] + ["q" * 70, "long é " * 60]
+    pool = []
+    for line in base:
+        pool += [line, line]
+        at = rng.randrange(len(line))
+        pool += [line[:at] + "#" + line[at:], line[:at] + "@" + line[at + 1:], line[:at] + line[at + 1:],
+                 line[:at] + "#@" + line[at:]]
+    pool += ["", "  ", "short", "shorx"] * 3
+    rng.shuffle(pool)
+    texts = {i: "\n".join(pool[i::20]) for i in range(20)}
+    df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()] + [(None, None, 2)],
+                               "doc_id bigint, text string, line int")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    earlier = []
+    for i in range(20):
+        keep = []
+        for line in texts[i].split("\n"):
+            if line.strip(" \t\r"):
+                gone = any(x == line or (min(len(x), len(line)) >= 20 and near(x, line)) for x in earlier)
+                earlier.append(line)
+                if gone:
+                    continue
+            keep.append(line)
+        assert got[i].text == "\n".join(keep), i
+        assert got[i].n_lines - got[i].n_dropped == len(keep)
+        assert got[i].line == 1
+    assert (got[None].text, got[None].n_lines) == (None, 0)
+
+
+def test_lines_of_awkward_rows(docs, none, rows):
+    got = lines.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and got.count() == len(rows)
+    assert lines.dedup_lines(docs, max_edits=0).count() == len(rows)
+    assert lines.dedup_lines(none).count() == 0
+
+
+# --- near duplicates ---------------------------------------------------------
+
+
+def test_tiles_connect_what_links_connect():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near_ = [c ^ (np.uint64(1) << np.uint64(rng.integers(64))) for c in centres for _ in range(6)]
+    values = np.unique(np.r_[centres, near_, rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    for a, b in ((values, None), (values[::2].copy(), values[1::2].copy())):
+        u, v = simhash.tile_forest(a, b, 3)
+        assert len(u) < len(values)
+        left, right = (values, values) if b is None else (a, b)
+        want = {(x, y) for x in left for y in right if x != y and int(x ^ y).bit_count() <= 3}
+        if b is not None:  # a forest over links between the two only
+            assert connected(list(zip(u.tolist(), v.tolist(), strict=True))) == connected(
+                [(int(x), int(y)) for x, y in want])
+        else:
+            assert connected(list(zip(u.tolist(), v.tolist(), strict=True))) == connected(
+                [(int(x), int(y)) for x, y in want])
+
+
+def connected(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
+    edges += [(1000, i) for i in range(1001, 1200)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {k: v for k, v in connected([e for e in edges if e[0] != e[1]]).items()}
+
+
+def test_near_duplicates_of_awkward_rows(spark, docs, none, rows):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    prints = {(r.doc_id, r.fp) for r in got}
+    for r in rows:
+        fp = simhash.fingerprint(r[1] or "")
+        assert (r[0], fp - 2**64 if fp >= 2**63 else fp) in prints
+    links = [(a, b) for a, x in prints for b, y in prints
+             if a is not None and b is not None and int((x ^ y) & (2**64 - 1)).bit_count() <= 3]
+    want = connected(links)
+    assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None and r.doc_id != 3)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+# --- repeats -----------------------------------------------------------------
+
+
+def test_suffix_arrays():
+    rng = random.Random(6)
+    for _ in range(150):
+        letters = rng.choice(["a", "ab", "aé z", "abcdefgh"])
+        segments = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))).encode()
+                    for _ in range(rng.randint(1, 6))]
+        segments += [segments[0] * 2, b"z" * rng.randint(1, 30)]
+        symbols, _ = suffixes.join(segments)
+        marks = {int(p): i for i, p in enumerate(np.flatnonzero(symbols == 0))}
+        whole = [(int(c), marks.get(i, 0)) for i, c in enumerate(symbols)]
+        order = suffixes.suffix_array(symbols, suffixes._words(symbols))
+        assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+
+
+@pytest.mark.parametrize(("length", "hot"), [(200, 20_000), (64, 20_000), (64, 2), (100, 1)])
+def test_repeats_against_all_strings(docs, none, rows, length, hot):
+    data = [(r[1] or "").encode() for r in rows]
+    seen = {}
+    for k, text in enumerate(data):
+        for i in range(len(text) - length + 1):
+            seen.setdefault(text[i:i + length], []).append((k, i))
+    want = []
+    for text in data:
+        cover = np.zeros(len(text), bool)
+        for i in range(len(text) - length + 1):
+            if len(seen[text[i:i + length]]) > 1:
+                cover[i:i + length] = True
+        want.append(bytes(np.frombuffer(text, np.uint8)[~cover]))
+    got = repeats.cut_repeats(docs, length=length, hot=hot).withColumn("gone", repeats.removed_bytes()).collect()
+    assert sorted(bytes(r.kept) for r in got) == sorted(want)
+    assert all(r.n_bytes - r.gone == len(r.kept) for r in got)
+    assert repeats.cut_repeats(none).count() == 0
+
+
+# --- fingerprints and shards -------------------------------------------------
+
+
+def test_fingerprints_of_edits(docs, none, rows):
+    got = ordermin.fingerprint_edits(docs).collect()
+    assert len(got) == len(rows)
+    ids = [r[0] for r in rows]
+    single = {r[0]: r[1] or "" for r in rows if r[0] is not None and ids.count(r[0]) == 1}
+    by = {r.doc_id: r for r in got}
+    for i in sorted(single, reverse=True):
+        if i - 1 not in single:
+            continue
+        text, other = single[i], single[i - 1]
+        third = len(text) // 3
+        assert by[i].edited == text[:len(text) - third] + other[:third]
+        assert by[i].n_chars == len(text)
+        assert 0 <= by[i].near_edited <= 1 and 0 <= by[i].near_next <= 1
+    prints = {}
+    for r in got:
+        if r.doc_id in single:
+            prints.setdefault(single[r.doc_id], set()).add(tuple(r.fingerprint))
+    assert all(len(p) == 1 for p in prints.values())
+    assert ordermin.fingerprint_edits(none).count() == 0
+    one = docs.where("doc_id = 5")
+    assert ordermin.fingerprint_edits(one).first().near_next == 1.0
+
+
+def test_fingerprints_see_order(spark):
+    a, b = words(random.Random(7), 300), words(random.Random(8), 300)
+    df = spark.createDataFrame([(1, f"{a} {b}"), (2, f"{b} {a}"), (3, f"{a} {b}!")], "n int, text string")
+    got = {r.n: set(r.s) for r in ordermin.with_signature(df, "text", "s").collect()}
+    assert len(got[1] & got[3]) > len(got[1] & got[2])
+
+
+def test_next_rows_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordermin, "ORDERED", 100)
+    df = spark.range(500).select((F.col("id") * 7).alias("id"), F.lit(0).cast("bigint").alias("th"),
+                                 F.concat(F.lit("text "), "id").alias("text"))
+    got = {r.id: r.next_text for r in ordermin.with_next(df, ["text"]).collect()}
+    assert len(got) == 500 and got[0] == f"text {499}"
+    assert all(got[7 * i] == f"text {i - 1}" for i in range(1, 500))
+
+
+def test_shards(spark, docs, none, rows):
+    rng = random.Random(9)
+    many = spark.createDataFrame(
+        [(i, "x" * rng.randint(0, 90), rng.choice(["a", "b"]), "hot" if i % 3 else f"s{i % 50}", None, "", 1, "", 1)
+         for i in range(4000)], DOCS)
+    got = sharding.shard_by_tree(many, 7).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 7 and sizes.max() < 1.02 * sizes.mean() and sizes.min() > 0.98 * sizes.mean()
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+    few = sharding.shard_by_tree(docs, 40).collect()
+    assert sorted(r.text_crc32 for r in few) == sorted(zlib.crc32((r[1] or "").encode()) for r in rows)
+    assert sharding.shard_by_tree(none, 40).count() == 0
+
+
+# --- archives ----------------------------------------------------------------
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rng = random.Random(10)
+    big = "".join(rng.choice("ab\nWARC/1.1 é\r\n") for _ in range(5000))
+    html = [big, big, big + "x", "same " * 10, "same " * 10, "", None, "\r\n\r\nWARC/1.1\r\n", "a\n" * 900]
+    pages = [(i, f"http://h/{i}\r\nEvil: 1", h, "x") for i, h in enumerate(html)] + [(None, None, big, None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, payload string")
+    warc.write_archives(df, str(tmp_path / "w"), chunk_bytes=700)
+    chunks = warc.read_archives(spark, str(tmp_path / "w"), chunk_bytes=512).collect()
+    assert max(len(c.chunk) for c in chunks) < 2048
+    texts = {}
+    for c in sorted(chunks, key=lambda c: c.chunk_no):
+        texts[c.record_id] = texts.get(c.record_id, b"") + bytes(c.chunk)
+    got = {r.page_id: r for r in warc.page_records(spark.createDataFrame(chunks, warc.CHUNKS)).collect()}
+    for i, h in [*enumerate(html), (None, big)]:
+        data = (h or "").encode()
+        assert got[i].payload_bytes == len(data)
+        assert got[i].payload_digest == hashlib.sha1(data).hexdigest()
+        if i != 0:
+            assert texts[f"<urn:page:{'' if i is None else i}>"] == data
+    assert [(got[i].record_type, got[i].refers_to) for i in (0, 1, 3, 4, None)] == [
+        ("revisit", 1), ("response", None), ("response", None), ("response", None), ("response", None)]
+    warc.write_archives(df.limit(0), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+# --- neighbours and languages ------------------------------------------------
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((1500, 16)).round(3)
+    v[100:400] = v[7]
+    table = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    table += [(2000, None, 1), (2050, [0.0] * 16, 1), (2100, [None] * 16, 1), (2150, [float("nan")] * 16, 1),
+              (2200, [1.0, 2.0], 1), (2250, [2.0, 4.0], 1), (2300, [1e300] * 16, 1), table[50], (None, [1.0] * 16, 1)]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, node int")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert not set(by) & {2000, 2050, 2100, 2150}
+    assert [x[0] for x in by[2200].values()] == [2250]
+    use = np.vstack([v, np.ones((1, 16))])
+    ids = np.r_[np.arange(1500), 2300]
+    unit = use / np.sqrt((use * use).sum(axis=1))[:, None]
+    hit = total = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = ids[np.lexsort((ids, -s.round(12)))[:5]]
+        found = [by[q][k][0] for k in range(1, 6)]
+        hit += len(set(best) & set(found))
+        total += 5
+        assert np.allclose([by[q][k][1] for k in range(1, 6)], sorted((s[np.isin(ids, found)]), reverse=True))
+    assert hit / total >= 0.9
+    assert [by[200][k][0] for k in range(1, 6)] == [7, 100, 101, 102, 103]
+    assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def phrases(text, seen):
+    count, at = 0, 0
+    for begin in range(0, len(text), language.STRETCH):
+        part, at = text[begin:begin + language.STRETCH], 0
+        while at < len(part):
+            end = at + 1
+            while end <= len(part) and part[at:end] in seen:
+                end += 1
+            count, at = count + 1, end
+    return count
+
+
+def test_phrases_are_the_longest_matches():
+    rng = random.Random(12)
+    texts = {n: ["".join(rng.choice(s) for _ in range(300))] for n, s in (("p", "ab cd"), ("q", "xy ab"))}
+    model = language.build(texts)
+    own = [language.fold("".join(rng.choice("abxycd é") for _ in range(k))) for k in (0, 1, 40, 1300)]
+    got = language.phrases(model, own)
+    plain = ["".join(map(chr, t)) for t in own]
+    for k, name in enumerate(model.languages):
+        seen = "".join(map(chr, language.fold(texts[name][0])))
+        assert got[:, k].tolist() == [phrases(t, seen) for t in plain]
+
+
+def test_languages(docs, none, rows):
+    model = language.learn(docs)
+    got = language.identify(docs, model, keep=("doc_id", "n_chars", "key")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"a", "b", "und"}
+    blank = {r[0] for r in rows if r[0] not in (None, 3) and not any(c.isalpha() for c in r[1] or "")}
+    assert {r.doc_id for r in got if r.lang_pred == "und"} - {None} == blank
+    assert all(0 <= r.score <= 1 for r in got)
+    empty = language.learn(none)
+    assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
+    assert language.identify(none, model).count() == 0
