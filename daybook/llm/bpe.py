@@ -17,6 +17,7 @@ from functools import lru_cache
 from hashlib import sha256
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from daybook.llm.shipping import ship
 
 #: Encoded pieces of text that a worker keeps; beyond it the table starts anew.
-KEPT = 150_000
+KEPT = 400_000
+#: Characters of text whose pieces are looked up together.
+TOGETHER = 8_000_000
 
 # The byte alphabet and the word pattern of the vocabulary.
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
@@ -45,67 +48,81 @@ def byte_alphabet() -> list[str]:
 
 
 class PairIndex:
-    """Encodes lists of words; ``merges`` by rank, pairs as one number."""
+    """Encodes lists of words; ``merges`` by rank."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_alphabet()
-        self.inner = [vocab[c] for c in letters]
-        self.final = [vocab[c + WORD_END] for c in letters]
-        self.merged = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(self.merged)}
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            data = word.encode()
-            at = len(symbols)
-            starts.append(at)
-            symbols += [self.inner[b] for b in data[:-1]]
-            symbols.append(self.final[data[-1]])
-            end = len(symbols)
-            after += range(at + 1, end)
-            after.append(-1)
-            before.append(-1)
-            before += range(at, end - 1)
-        rank = self.rank
-        where: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank.get(symbols[i] << 32 | symbols[j])) is not None:
-                where.setdefault(r, []).append(i)
-        active = list(where)
-        heapq.heapify(active)
+        self.inner = np.array([vocab[c] for c in letters], np.int64)
+        self.final = np.array([vocab[c + WORD_END] for c in letters], np.int64)
+        self.merged = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64)
+        pairs = self.merged[:, 0] << 32 | self.merged[:, 1]
+        self.by_pair = np.argsort(pairs)
+        self.pairs = np.r_[pairs[self.by_pair], np.iinfo(np.int64).max]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 if they are never merged."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.by_pair[np.minimum(at, len(self.by_pair) - 1)], -1)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and where each word's begin."""
+        data = [w.encode() for w in words]
+        sizes = np.array([len(d) for d in data], np.int64)
+        ends = np.cumsum(sizes)
+        codes = np.frombuffer(b"".join(data), np.uint8)
+        n = len(codes)
+        symbols = self.inner[codes]
+        symbols[ends - 1] = self.final[codes[ends - 1]]
+        after = np.arange(1, n + 1)
+        after[ends - 1] = -1
+        before = np.arange(-1, n - 1)
+        before[ends - sizes] = -1
+        where: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Enter the positions under the pairs that begin there."""
+            rank = self._ranks(symbols[at], symbols[after[at]])
+            met = rank >= 0
+            at, rank = at[met], rank[met]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, part in zip(rank[np.r_[0, cuts]].tolist(), np.split(at, cuts), strict=True):
+                if r not in where:
+                    where[r] = []
+                    heapq.heappush(active, r)
+                where[r].append(part)
+
+        note(np.flatnonzero(after >= 0))
         while active:
             r = heapq.heappop(active)
-            left, right, whole = self.merged[r]
-            for i in sorted(where.pop(r)):
-                j = after[i]
-                if symbols[i] != left or j < 0 or symbols[j] != right:
-                    continue  # taken by an earlier merge
-                symbols[i], symbols[j] = whole, -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                for x, y in ((before[i], i), (i, k)):
-                    if x < 0 or y < 0:
-                        continue
-                    made = rank.get(symbols[x] << 32 | symbols[y])
-                    if made is None:
-                        continue
-                    if made not in where:
-                        where[made] = []
-                        heapq.heappush(active, made)
-                    where[made].append(x)
-        out = []
-        for i in starts:
-            ids = []
-            while i >= 0:
-                ids.append(symbols[i])
-                i = after[i]
-            out.append(ids)
-        return out
+            left, right, whole = self.merged[r].tolist()
+            found = where.pop(r)
+            i = np.unique(np.concatenate(found))
+            j = after[i]
+            # An earlier merge may have taken a symbol of the pair.
+            live = (symbols[i] == left) & (j >= 0)
+            live[live] = symbols[j[live]] == right
+            i, j = i[live], j[live]
+            if left == right and len(i) > 1:  # of pairs that overlap every other one, from the left
+                begin = np.r_[True, i[1:] != j[:-1]]
+                place = np.arange(len(i))
+                take = (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0
+                i, j = i[take], j[take]
+            if not len(i):
+                continue
+            k = after[j]
+            symbols[i], symbols[j] = whole, -1
+            after[i] = k
+            before[k[k >= 0]] = i[k >= 0]
+            previous = before[i]
+            note(np.concatenate([previous[previous >= 0], i[k >= 0]]))
+        kept = symbols >= 0
+        return symbols[kept], np.cumsum(kept)[ends - sizes] - 1
 
 
 class Codec:
@@ -168,7 +185,11 @@ class Codec:
         words = [[] if isinstance(p, int) else list(p) if isinstance(p, tuple)
                  else self.words.findall(p) for p in pieces]
         unique = list({w for ws in words for w in ws})
-        ids = dict(zip(unique, self.index.encode(unique), strict=True))
+        ids: dict[str, list[int]] = {}
+        if unique:
+            flat, begin = self.index.encode(unique)
+            flat, begin = flat.tolist(), begin.tolist()
+            ids = {w: flat[a:b] for w, a, b in zip(unique, begin, [*begin[1:], len(flat)], strict=True)}
         for piece, ws in zip(pieces, words, strict=True):
             got = [piece] if isinstance(piece, int) else [i for w in ws for i in ids[w]]
             self.kept[piece] = self.render(got, self.tokens)
@@ -184,10 +205,17 @@ def codec(path: str, render: Callable) -> Codec:
     return Codec(path, render)
 
 
-def batches(column: pa.Array, rows: int = 500) -> Iterator[list[str]]:
-    """The column's texts, some at a time; a null is an empty text."""
-    for at in range(0, len(column), rows):
-        yield [t or "" for t in column.slice(at, rows).to_pylist()]
+def batches(column: pa.Array) -> Iterator[list[str]]:
+    """The column's texts, some millions of characters at a time; a null is an empty text."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ be left. Pieces come longest first; one that fits nowhere opens a sequence.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,7 +78,7 @@ def fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray
 
 
 def _bytes_of(ids: list[int], tokens: list[str]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
