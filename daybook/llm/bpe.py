@@ -182,16 +182,26 @@ class Codec:
         return ([kept[p] for p in pieces] for pieces in cut)
 
     def _learn(self, pieces: list) -> None:
-        words = [[] if isinstance(p, int) else list(p) if isinstance(p, tuple)
-                 else self.words.findall(p) for p in pieces]
-        unique = list({w for ws in words for w in ws})
-        ids: dict[str, list[int]] = {}
+        # Most pieces are one word; a list for each would only keep the collector busy.
+        words = [() if isinstance(p, int) else p if isinstance(p, tuple)
+                 else p if p.isalpha() else tuple(self.words.findall(p)) for p in pieces]
+        unique = {w for ws in words if not isinstance(ws, str) for w in ws}
+        unique.update(ws for ws in words if isinstance(ws, str))
+        unique = list(unique)
+        place = {w: k for k, w in enumerate(unique)}
+        flat: list[int] = []
+        begin = [0]
         if unique:
-            flat, begin = self.index.encode(unique)
-            flat, begin = flat.tolist(), begin.tolist()
-            ids = {w: flat[a:b] for w, a, b in zip(unique, begin, [*begin[1:], len(flat)], strict=True)}
+            ids, starts = self.index.encode(unique)
+            flat, begin = ids.tolist(), [*starts.tolist(), len(ids)]
         for piece, ws in zip(pieces, words, strict=True):
-            got = [piece] if isinstance(piece, int) else [i for w in ws for i in ids[w]]
+            if isinstance(ws, str):
+                k = place[ws]
+                got = flat[begin[k]:begin[k + 1]]
+            elif isinstance(piece, int):
+                got = [piece]
+            else:
+                got = [i for w in ws for i in flat[begin[place[w]]:begin[place[w] + 1]]]
             self.kept[piece] = self.render(got, self.tokens)
 
 
