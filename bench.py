@@ -16,7 +16,7 @@ from daybook.session import local_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
-# Files and tables the queries share are made first and timed on their own.
+# Files and tables the queries share are made first; their time is part of the total.
 PREPARED = {"landing_write": queries._landing, "two_runs": queries._two_runs,
             "loaded_store": queries._loaded, "text_landing": queries._text_landing}
 
@@ -39,16 +39,18 @@ def main() -> None:
     spark = local_session(CPUS)
     spark.sparkContext.setLogLevel("OFF")
     consume(spark.read.parquet(f"{SF_DIR}/orders.parquet"))  # start the executor
-    seconds = {}
+    seconds, cold = {}, {}
     for name, make in PREPARED.items():
         seconds[name] = timed(lambda: queries._once(spark, SF_DIR, make))
     for name in HEADLINE:
         query = queries.QUERIES[name]
-        # The better of two runs: the first one pays for compiling the plan.
-        seconds[name] = min(timed(lambda: consume(query(spark, SF_DIR))) for _ in range(2))
-    total = round(sum(seconds[name] for name in HEADLINE), 3)
-    print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec",
-                      "queries": seconds, "sf": os.path.basename(SF_DIR).removeprefix("sf")}))
+        # The first run pays for compiling the plan; both are reported.
+        cold[name] = timed(lambda: consume(query(spark, SF_DIR)))
+        seconds[name] = timed(lambda: consume(query(spark, SF_DIR)))
+    # Two backfills, the landing and the other files that queries share count as well.
+    print(json.dumps({"metric": "headline queries and what they read, total, warm",
+                      "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+                      "cold": cold, "sf": os.path.basename(SF_DIR).removeprefix("sf")}))
     spark.stop()
 
 

@@ -40,6 +40,8 @@ class Feed:
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", self.prefix):
             raise ValueError(f"prefix {self.prefix!r} is not a plain file name part")
+        if set(self.landing) & set("*?[]{}"):
+            raise ValueError(f"landing {self.landing!r} has characters that stand for others in a path")
         taken = {n.lower() for n in self.schema.names} & RESERVED if self.schema else set()
         if taken:
             raise ValueError(f"columns {sorted(taken)} have a meaning of their own here")

@@ -29,6 +29,10 @@ _EVENT_DAYS = """
     FROM events
 """
 
+# The days that have not landed at first, counted from the first day of the events.
+_MISSING_DAY = "(SELECT CAST(CAST(min(ts) AS DATE) + 3 AS DATE) FROM events)"
+_LATE_DAY = "(SELECT CAST(CAST(min(ts) AS DATE) + 16 AS DATE) FROM events)"
+
 _STORE = """
     SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE) AS snapshot_date
     FROM events
@@ -59,11 +63,10 @@ _LINES = r"""
 """
 
 _ERRORS = f"""
-    SELECT run, strftime(CAST(day AS DATE), '%Y-%m-%d') AS date,
-           '{NOT_FOUND}{BASE_URL}/events-' || day || '.csv.gz' AS error
-    FROM (VALUES ('run-1', '2024-01-04'), ('run-1', '2024-01-17'), ('run-2', '2024-01-04'))
-         AS failures(run, day)
-    WHERE CAST(day AS DATE) IN (SELECT CAST(ts AS DATE) FROM events)
+    SELECT run, strftime(day, '%Y-%m-%d') AS date,
+           '{NOT_FOUND}{BASE_URL}/events-' || strftime(day, '%Y-%m-%d') || '.csv.gz' AS error
+    FROM (SELECT 'run-1' AS run, {_MISSING_DAY} AS day UNION ALL SELECT 'run-1', {_LATE_DAY}
+          UNION ALL SELECT 'run-2', {_MISSING_DAY}) AS failures
 """
 
 ORACLES: dict[str, str] = {
@@ -91,21 +94,27 @@ ORACLES: dict[str, str] = {
     """,
     "landing_files": f"SELECT file_name, snapshot_date FROM ({_EVENT_DAYS}) AS d",
     "ingest_outcomes": _outcomes(
-        "CASE WHEN snapshot_date IN (DATE '2024-01-04', DATE '2024-01-17') "
+        f"CASE WHEN snapshot_date = {_MISSING_DAY} OR snapshot_date = {_LATE_DAY} "
         "THEN 'FAILED' ELSE 'LOADED' END"
     ),
     "rerun_outcomes": _outcomes(
-        "CASE snapshot_date WHEN DATE '2024-01-04' THEN 'FAILED' "
-        "WHEN DATE '2024-01-17' THEN 'LOADED' ELSE 'SKIPPED' END"
+        f"CASE WHEN snapshot_date = {_MISSING_DAY} THEN 'FAILED' "
+        f"WHEN snapshot_date = {_LATE_DAY} THEN 'LOADED' ELSE 'SKIPPED' END"
     ),
-    "rerun_rows": f"{_STORE} WHERE CAST(ts AS DATE) <> DATE '2024-01-04'",
+    "rerun_rows": f"{_STORE} WHERE CAST(ts AS DATE) <> {_MISSING_DAY}",
     "ingest_rows": _STORE,
     "stream_rows": _STORE,
+    "stream_after_backfill": f"""
+        SELECT CAST(ts AS DATE) AS snapshot_date,
+               CASE WHEN CAST(ts AS DATE) < {_LATE_DAY} THEN 'SKIPPED' ELSE 'LOADED' END AS status,
+               count(*) AS rows
+        FROM events GROUP BY 1
+    """,
     "single_day_outcome": _outcomes(
         "'LOADED'",
-        f"SELECT * FROM ({_EVENT_DAYS}) AS e WHERE snapshot_date = DATE '2024-01-17'",
+        f"SELECT * FROM ({_EVENT_DAYS}) AS e WHERE snapshot_date = {_LATE_DAY}",
     ),
-    "store_one_day": f"{_STORE} WHERE CAST(ts AS DATE) = DATE '2024-01-17'",
+    "store_one_day": f"{_STORE} WHERE CAST(ts AS DATE) = {_LATE_DAY}",
     "inferred_types": """
         SELECT column_name,
                CASE WHEN bool_and(regexp_matches(cell, '^[+-]?[0-9]+$')) THEN 'bigint'
@@ -122,7 +131,7 @@ ORACLES: dict[str, str] = {
     "error_log_append": _ERRORS,
     "error_summary": f"""
         SELECT date, count(*) AS attempts, min(run) AS first_seen, max(run) AS last_seen,
-               CAST(404 AS INTEGER) AS http_code, date = '2024-01-04' AS still_pending
+               CAST(404 AS INTEGER) AS http_code, CAST(date AS DATE) = {_MISSING_DAY} AS still_pending
         FROM ({_ERRORS}) AS e GROUP BY date
     """,
     "imported_log": f"""
@@ -144,19 +153,23 @@ ORACLES: dict[str, str] = {
         {_STORE} WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)
         ORDER BY event_id LIMIT 100
     """,
+    "inspect_lines": """
+        SELECT row_number() OVER (ORDER BY event_id) AS row_no, event_id FROM events
+        WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)
+    """,
     "preview": "SELECT * FROM events ORDER BY event_id LIMIT 100",
     "daily_counts": """
         SELECT CAST(ts AS DATE) AS snapshot_date, count(*) AS rows FROM events GROUP BY 1
     """,
     "sample_check": f"{_STORE} WHERE md5(CAST(event_id AS VARCHAR)) LIKE '0%'",
-    "day_check": """
+    "day_check": f"""
         SELECT CAST(ts AS DATE) AS snapshot_date, count(*) AS landing_rows,
                count(*) AS store_rows, CAST(0 AS BIGINT) AS flagged_rows, TRUE AS same_content
-        FROM events WHERE CAST(ts AS DATE) <> DATE '2024-01-04' GROUP BY 1
+        FROM events WHERE CAST(ts AS DATE) <> {_MISSING_DAY} GROUP BY 1
     """,
     "readable_files": """
         SELECT 'events-' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '.csv.gz' AS file_name,
-               CAST(0 AS BIGINT) AS unreadable_parts, count(*) AS rows
+               CAST(0 AS BIGINT) AS unreadable_parts, count(*) AS lines
         FROM events GROUP BY CAST(ts AS DATE)
     """,
     "flagged_rows": """

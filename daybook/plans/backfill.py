@@ -20,7 +20,10 @@ from daybook.sources.calendar import calendar
 from daybook.sources.errorlog import append_errors, error_entries
 from daybook.sources.landing import check_files, landed_days, landing_files
 from daybook.sources.snapshots import infer_schema, read_snapshots
-from daybook.sources.store import stored_schema, write_days
+from daybook.sources.store import clear_days, stored_schema, write_days
+
+#: Landed bytes, compressed, that are loaded and entered in the ledger together.
+GROUP_BYTES = 1 << 40
 
 
 def backfill(
@@ -35,17 +38,34 @@ def backfill(
     """Load every pending day of the range that has landed; log the others.
 
     Returns one outcome row per day. Safe to run again at any time: loaded days
-    are skipped, failed days are tried again. The store is written first and
-    the ledger last, so a run that dies half way leaves its days pending, never
-    wrongly present.
+    are skipped, failed days are tried again. Of each group of days the store is
+    written first and the ledger last, so a run that dies half way leaves the
+    rest pending, never wrongly present.
 
     Sound files are the rule, so by default they are read once, by the load
     itself; only if that fails is each file checked and the rest loaded.
     ``verify`` checks first, for sources that often deliver broken files.
     ``strict`` also fails a day that has flagged rows.
     """
+    return bring_in(spark, feed, with_names(calendar(spark, start, end), feed.prefix), run, verify, strict)
+
+
+def bring_in(
+    spark: SparkSession,
+    feed: Feed,
+    names: DataFrame,
+    run: str | None = None,
+    verify: bool = False,
+    strict: bool = False,
+    group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """Load the pending ones of some days (snapshot_date, file_name); one outcome row per day.
+
+    Days are loaded in groups of up to ``group_bytes`` of landed files, and each
+    group enters the ledger when it is written: a run that dies keeps the groups
+    before, and a broken file costs a second read of its own group only.
+    """
     run = run or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S.%fZ")
-    names = with_names(calendar(spark, start, end), feed.prefix)
     loaded = ledgers.loaded_days(ledgers.read_ledger(spark, feed.ledger))
     # At most one name per calendar day comes to the driver, never rows or files.
     pending = [r.file_name for r in pending_days(names, loaded).select("file_name").collect()]
@@ -53,15 +73,41 @@ def backfill(
     # A scan gets a task per 128 MB of files. The listing does not read the files,
     # so a few tasks per core will do, not the hundreds of thousands of a load.
     with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
-        outcomes = settle(day_outcomes(names, loaded, landed, feed.base_url))
-
-    if verify:
-        outcomes = _drop_unsound(spark, feed, outcomes)
-    outcomes = _load(spark, feed, outcomes, strict)
-
+        landed = settle(landed)
+        outcomes = settle(day_outcomes(names, loaded, landed.drop("bytes"), feed.base_url))
+
+    day = F.col("snapshot_date")
+    rest = done = outcomes.where(F.col("status") != LOADED)
+    for days in _groups(outcomes, landed, group_bytes):
+        group = settle(outcomes.where(day.isin(days)))
+        if verify:
+            group = _drop_unsound(spark, feed, group)
+        group = settle(_load(spark, feed, group, strict))
+        _enter(group, feed, run)
+        done = done.union(group)
+    _enter(rest, feed, run)
+    return settle(done).orderBy("snapshot_date")
+
+
+def _enter(outcomes: DataFrame, feed: Feed, run: str) -> None:
+    """Log the failures, then record the outcomes: the ledger comes last."""
     append_errors(error_entries(outcomes.where(F.col("status") == FAILED)), feed.error_log, run)
     ledgers.append_outcomes(outcomes, feed.ledger, run)
-    return outcomes.orderBy("snapshot_date")
+
+
+def _groups(outcomes: DataFrame, landed: DataFrame, group_bytes: int) -> list[list[datetime.date]]:
+    """The days to load in order, cut where a group has reached its size."""
+    rows = (outcomes.where(F.col("status") == LOADED).join(landed, "file_name")
+            .select("snapshot_date", "bytes").orderBy("snapshot_date").collect())
+    groups: list[list[datetime.date]] = []
+    size = group_bytes
+    for row in rows:
+        if size >= group_bytes:
+            groups.append([])
+            size = 0
+        groups[-1].append(row.snapshot_date)
+        size += row.bytes
+    return groups
 
 
 def load_day(spark: SparkSession, feed: Feed, day: datetime.date, run: str | None = None) -> DataFrame:
@@ -98,6 +144,7 @@ def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -
             return outcomes
     rows = read_feed(spark, feed, schema, list(paths.values()))
     written = write_days(rows.drop("flagged"), feed.store)
+    clear_days(spark, feed.store, [day for day in paths if day not in written])
     # A day without rows is present if its file has a header, and failed if it is empty.
     without = [path for day, path in paths.items() if day not in written]
     if not without:

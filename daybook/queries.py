@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ from daybook.functions.text import line_label
 from daybook.operators import checks, outcomes
 from daybook.operators.preview import first_rows
 from daybook.plans.backfill import backfill, load_day
-from daybook.plans.inspection import preview_snapshot
+from daybook.plans.inspection import inspect_snapshot, preview_snapshot
 from daybook.session import scratch, settle
 from daybook.sources import calendar, errorlog, landing, ledger, lines, snapshots, store
 from daybook.streaming.catchup import catch_up
@@ -49,10 +49,9 @@ EVENTS = (
     .add("value", T.DoubleType())
     .add("props", "string")
 )
-FIRST_DAY, LAST_DAY = datetime.date(2024, 1, 1), datetime.date(2024, 1, 30)
 
-# Days that have not landed when the two-run story begins; one arrives in between.
-LATE_DAY, MISSING_DAY = datetime.date(2024, 1, 17), datetime.date(2024, 1, 4)
+# Days after the first that have not landed when the two-run story begins; one arrives in between.
+LATE, MISSING = datetime.timedelta(days=16), datetime.timedelta(days=3)
 
 _made: dict[tuple, object] = {}
 
@@ -85,6 +84,16 @@ def _feed(spark: SparkSession, label: str, landing_folder: str | None = None) ->
     )
 
 
+def _span(spark: SparkSession, sf_dir: str) -> tuple[datetime.date, datetime.date]:
+    """First and last day of the events, whatever they are."""
+    day = F.col("snapshot_date")
+    return tuple(_events(spark, sf_dir).agg(F.min(day), F.max(day)).first())
+
+
+def _range(spark: SparkSession, sf_dir: str) -> tuple[datetime.date, datetime.date]:
+    return _once(spark, sf_dir, _span)
+
+
 def _in_order(rows: DataFrame, order: str) -> DataFrame:
     """Rows spread over tasks by day and then ``order``.
 
@@ -121,17 +130,19 @@ def _landing(spark: SparkSession, sf_dir: str) -> str:
 
 def _loaded(spark: SparkSession, sf_dir: str) -> Feed:
     feed = _feed(spark, "loaded", _once(spark, sf_dir, _landing))
-    backfill(spark, feed, FIRST_DAY, LAST_DAY, run="run-1")
+    backfill(spark, feed, *_range(spark, sf_dir), run="run-1")
     return feed
 
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[Feed, DataFrame, DataFrame]:
     feed = _feed(spark, "two-runs")
     events = _events(spark, sf_dir)
-    _publish(events.where(~F.col("snapshot_date").isin(LATE_DAY, MISSING_DAY)), feed.landing)
-    first = settle(backfill(spark, feed, FIRST_DAY, LAST_DAY, run="run-1"))
-    _publish(events.where(F.col("snapshot_date") == F.lit(LATE_DAY)), feed.landing)
-    second = settle(backfill(spark, feed, FIRST_DAY, LAST_DAY, run="run-2"))
+    start, end = _range(spark, sf_dir)
+    late, missing = start + LATE, start + MISSING
+    _publish(events.where(~F.col("snapshot_date").isin(late, missing)), feed.landing)
+    first = settle(backfill(spark, feed, start, end, run="run-1"))
+    _publish(events.where(F.col("snapshot_date") == F.lit(late)), feed.landing)
+    second = settle(backfill(spark, feed, start, end, run="run-2"))
     return feed, first, second
 
 
@@ -241,13 +252,19 @@ def rerun_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerun_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, _, _ = _once(spark, sf_dir, _two_runs)
-    return store.read_store(spark, feed.store, EVENTS)
+    return _stored(spark, feed)
 
 
 def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, "ingest", _once(spark, sf_dir, _landing))
-    backfill(spark, feed, FIRST_DAY, LAST_DAY, run="run-1")
-    return store.read_store(spark, feed.store, EVENTS)
+    backfill(spark, feed, *_range(spark, sf_dir), run="run-1")
+    return _stored(spark, feed)
+
+
+def _stored(spark: SparkSession, feed: Feed) -> DataFrame:
+    return store.read_store(
+        spark, feed.store, EVENTS, ledger.loaded_days(ledger.read_ledger(spark, feed.ledger))
+    )
 
 
 def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,18 +272,32 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress = scratch(spark, "progress")
     catch_up(spark, feed, progress).awaitTermination()
     catch_up(spark, feed, progress).awaitTermination()  # finds nothing new
-    return store.read_store(spark, feed.store, EVENTS)
+    return _stored(spark, feed)
+
+
+def stream_after_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a last backfill when others and a stream have loaded the days before it."""
+    feed = _feed(spark, "mixed")
+    events, day = _events(spark, sf_dir), F.col("snapshot_date")
+    start, end = _range(spark, sf_dir)
+    _publish(events.where(day < F.lit(start + MISSING)), feed.landing)
+    backfill(spark, feed, start, start + MISSING, run="run-1")
+    _publish(events.where((day >= F.lit(start + MISSING)) & (day < F.lit(start + LATE))), feed.landing)
+    catch_up(spark, feed, scratch(spark, "progress")).awaitTermination()
+    _publish(events.where(day >= F.lit(start + LATE)), feed.landing)
+    last = settle(backfill(spark, feed, start, end, run="run-2"))
+    rows = _stored(spark, feed).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("rows"))
+    return last.join(rows, "snapshot_date", "left").select("snapshot_date", "status", "rows")
 
 
 def single_day_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, "single", _once(spark, sf_dir, _landing))
-    return _outcome_columns(load_day(spark, feed, LATE_DAY, run="run-1"), feed)
+    return _outcome_columns(load_day(spark, feed, _range(spark, sf_dir)[0] + LATE, run="run-1"), feed)
 
 
 def store_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _once(spark, sf_dir, _loaded)
-    rows = store.read_store(spark, feed.store, EVENTS)
-    return rows.where(F.col("snapshot_date") == F.lit(LATE_DAY))
+    return _stored(spark, feed).where(F.col("snapshot_date") == F.lit(_range(spark, sf_dir)[0] + LATE))
 
 
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +354,18 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, "preview", _once(spark, sf_dir, _landing))
-    return preview_snapshot(spark, feed, FIRST_DAY)
+    return preview_snapshot(spark, feed, _range(spark, sf_dir)[0])
+
+
+def inspect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the first landed day in their order, without the header line of each part."""
+    feed = _feed(spark, "inspect", _once(spark, sf_dir, _landing))
+    numbered = inspect_snapshot(spark, feed, _range(spark, sf_dir)[0]).lines
+    rows = numbered.where(~F.col("line").startswith(f"{EVENTS.names[0]},"))
+    # One day's lines, numbered for the comparison only.
+    order = Window.partitionBy(F.lit(1)).orderBy("line_no")
+    event = F.substring_index("line", ",", 1).cast("bigint").alias("event_id")
+    return rows.select(F.row_number().over(order).cast("bigint").alias("row_no"), event)
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,27 +377,27 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _once(spark, sf_dir, _loaded)
-    return checks.daily_counts(store.read_store(spark, feed.store, EVENTS))
+    return checks.daily_counts(_stored(spark, feed))
 
 
 def sample_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _once(spark, sf_dir, _loaded)
-    return checks.sample_rows(store.read_store(spark, feed.store, EVENTS), "event_id", "0")
+    return checks.sample_rows(_stored(spark, feed), "event_id", "0")
 
 
 def day_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, _, second = _once(spark, sf_dir, _two_runs)
     paths = [r.path for r in second.where(F.col("status") != FAILED).select("path").collect()]
     landed = snapshots.read_snapshots(spark, paths, EVENTS)
-    return checks.compare_days(landed, store.read_store(spark, feed.store, EVENTS), EVENTS.names)
+    return checks.compare_days(landed, _stored(spark, feed), EVENTS.names)
 
 
 def readable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = landing.check_files(spark, [_once(spark, sf_dir, _landing)])
     days = checks.readable_days(checked, PREFIX)
-    # Every part has one header line.
-    rows = (F.col("newlines") - F.col("parts")).alias("rows")
-    return days.select("file_name", "unreadable_parts", rows)
+    # Every part has one header line; a quoted cell may hold line ends of its own.
+    lines_ = (F.col("newlines") - F.col("parts")).alias("lines")
+    return days.select("file_name", "unreadable_parts", lines_)
 
 
 def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rerun_rows,
         ingest_rows,
         stream_rows,
+        stream_after_backfill,
         single_day_outcome,
         store_one_day,
         inferred_types,
@@ -394,6 +437,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_labels,
         file_lines,
         snapshot_preview,
+        inspect_lines,
         preview,
         daily_counts,
         sample_check,

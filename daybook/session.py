@@ -68,8 +68,9 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-# Rows of a path and a count, some 200 bytes each: 40 MB at most.
-SMALL_ROWS = 200_000
+# Rows of a path and a count, some 200 bytes each: 200 MB at most. 100 TB in
+# parts of 128 MB are some 800,000 of them.
+SMALL_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

@@ -59,8 +59,14 @@ def read_error_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_error_array(spark: SparkSession, array_path: str, log_path: str, run: str) -> None:
-    """Carry an array log over into the append-only log, duplicates and order kept."""
-    entries = read_error_array(spark, array_path).where(F.col("unparsed").isNull())
+    """Carry an array log over into the append-only log, duplicates and order kept.
+
+    A log that does not parse raises: its history is not to be lost silently.
+    """
+    entries = read_error_array(spark, array_path)
+    broken = entries.where(F.col("unparsed").isNotNull()).first()
+    if broken is not None:
+        raise ValueError(f"{array_path} does not parse: {broken.unparsed[:80]}")
     (
         entries.select("position", "date", "error", F.lit(run).alias("run"))
         .sortWithinPartitions("run", "position")

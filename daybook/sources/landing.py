@@ -67,6 +67,7 @@ def landed_days(files: DataFrame) -> DataFrame:
     return files.groupBy("file_name").agg(
         F.min("path").alias("landed_path"),
         (F.min("path") != F.max("path")).alias("ambiguous"),
+        F.sum("length").alias("bytes"),
     )
 
 

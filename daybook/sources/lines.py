@@ -42,7 +42,7 @@ def lines_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     One task sees all lines of a file in order and counts them as they pass,
     so there is no shuffle and no sort, however large the file.
     """
-    raw = spark.read.option("pathGlobFilter", "*.gz").text(list(paths))
+    raw = spark.read.options(pathGlobFilter="*.gz", recursiveFileLookup=True).text(list(paths))
     path = F.col("_metadata.file_path")
     # Row order matters to the counter: nondeterministic keeps filters above it.
     number = F.arrow_udf(count_runs, "bigint").asNondeterministic()
@@ -60,7 +60,7 @@ def lines_across_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     per part; the lines themselves stay where they were read.
     """
     folder = F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1)
-    raw = spark.read.option("pathGlobFilter", "*.gz").text(list(paths))
+    raw = spark.read.options(pathGlobFilter="*.gz", recursiveFileLookup=True).text(list(paths))
     counts = raw.groupBy(F.col("_metadata.file_path").alias("file_path")).count()
     order = Window.partitionBy(folder).orderBy(part_number(F.col("file_path")), "file_path")
     before = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))

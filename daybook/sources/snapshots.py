@@ -29,6 +29,7 @@ def csv_options(comment: str | None) -> dict:
         "multiLine": True,
         "mode": "PERMISSIVE",
         "pathGlobFilter": f"*{FILE_SUFFIX}",
+        "recursiveFileLookup": True,
     }
     return options | ({"comment": comment} if comment else {})
 
@@ -61,6 +62,10 @@ def typed_columns(schema: T.StructType, null_tokens: Sequence[str] = NULL_TOKENS
         value = present(F.col(f"`{field.name}`"), tokens)
         if field.dataType != T.StringType():
             text, value = value, value.try_cast(field.dataType)
+            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+                # A cast takes "1d" and "2f" for numbers.
+                suffixed = F.lower(F.right(text, F.lit(1))).isin("d", "f")
+                value = F.when(~suffixed | (F.lower(F.right(text, F.lit(3))) == "inf"), value)
             flagged |= text.isNotNull() & value.isNull()
         columns.append(value.alias(field.name))
     return [*columns, scanned_day().alias("snapshot_date"), flagged.alias("flagged")]

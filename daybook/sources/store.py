@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.session import read_or_empty
+from daybook.session import read_or_empty, setting
 
 DAY = T.StructField("snapshot_date", T.DateType())
 
@@ -21,20 +22,46 @@ def write_days(rows: DataFrame, path: str) -> set[datetime.date]:
     a shuffle by day would only gather a large day into one task.
     """
     seen = Observation()
-    (
-        rows.observe(seen, F.collect_set("snapshot_date").alias("days"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date")
-        .parquet(path)
-    )
+    # A task reads files of a few days. With an open file for each of them its
+    # rows need not be sorted by day first; beyond the limit Spark sorts the rest.
+    with setting(rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "100"):
+        (
+            rows.observe(seen, F.collect_set("snapshot_date").alias("days"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("snapshot_date")
+            .parquet(path)
+        )
     return set(seen.get["days"])
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All loaded days; a filter on ``snapshot_date`` prunes partitions."""
+def clear_days(spark: SparkSession, path: str, days: Iterable[datetime.date]) -> None:
+    """Remove what an earlier run left of days that have no rows now.
+
+    Overwriting partitions leaves those alone that nothing is written to.
+    """
+    context = spark.sparkContext
+    for day in days:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_date={day.isoformat()}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_store(
+    spark: SparkSession, path: str, schema: T.StructType, loaded: DataFrame | None = None
+) -> DataFrame:
+    """The store's days; a filter on ``snapshot_date`` prunes partitions.
+
+    ``loaded`` (the ledger's loaded days) keeps out what a run that died before
+    its ledger entry left behind. It has a row per day, so it prunes partitions
+    when the query runs.
+    """
     full = T.StructType([*schema.fields, DAY])
-    return read_or_empty(spark, full, lambda: spark.read.schema(full).parquet(path))
+    rows = read_or_empty(spark, full, lambda: spark.read.schema(full).parquet(path))
+    if loaded is None:
+        return rows
+    return rows.join(loaded.select("snapshot_date").distinct(), "snapshot_date", "left_semi").select(
+        *full.names
+    )
 
 
 def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:

@@ -1,4 +1,4 @@
-"""Catch-up as a stream: every file that has landed since the last run, once."""
+"""Catch-up as a stream: the days of every file that has landed since the last run."""
 
 from __future__ import annotations
 
@@ -6,38 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from daybook.constants import FILE_SUFFIX
 from daybook.feed import Feed
-from daybook.functions.naming import file_name_in
-from daybook.sources.snapshots import csv_cells, typed_columns
+from daybook.functions.naming import day_in, file_name_in
+from daybook.plans.backfill import bring_in
 
 
 def landing_stream(spark: SparkSession, feed: Feed, files_per_batch: int) -> DataFrame:
-    """Rows of the feed's snapshots as their files arrive."""
-    if feed.schema is None:
-        raise ValueError("a stream needs the snapshot schema")
-    reader = csv_cells(spark.readStream, feed.schema, feed.comment, feed.match_header)
-    reader = reader.options(recursiveFileLookup=True, maxFilesPerTrigger=files_per_batch)
-    raw = reader.csv(feed.landing)
-    ours = file_name_in(F.col("_metadata.file_path"), feed.prefix).isNotNull()
-    return raw.where(ours).select(*typed_columns(feed.schema, feed.null_tokens))
+    """Days (snapshot_date, file_name) of the feed's files as they arrive; the bytes are not read."""
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .options(
+            recursiveFileLookup=True,
+            pathGlobFilter=f"*{FILE_SUFFIX}",
+            maxFilesPerTrigger=files_per_batch,
+        )
+        .load(feed.landing)
+    )
+    name = file_name_in(F.col("path"), feed.prefix)
+    return files.where(name.isNotNull()).select(
+        day_in(name).alias("snapshot_date"), name.alias("file_name")
+    )
 
 
 def catch_up(
     spark: SparkSession, feed: Feed, progress: str, files_per_batch: int = 10_000
 ) -> StreamingQuery:
-    """Append what is new to ``feed.store`` and stop.
+    """Load the days that have landed since the last run, and stop.
 
     ``progress`` is the query's checkpoint directory; it remembers the files
-    already taken, batch by batch. The stream sees files, not days: it cannot
-    report a missing day, and a broken file stops it. The backfill does both
-    better. Give the stream a store of its own.
+    already seen, batch by batch. Each batch's days go through the same load of
+    whole days as a backfill and into the same ledger, so stream and backfill
+    can be mixed in any order: a loaded day is skipped, a broken one is logged
+    as failed and left to the next backfill. The stream cannot report a day
+    that never lands.
     """
-    rows = landing_stream(spark, feed, files_per_batch).drop("flagged")
+
+    def load(batch: DataFrame, number: int) -> None:
+        # One row per day of the batch; the batch's own session ends with it.
+        days = [tuple(r) for r in batch.distinct().collect()]
+        if days:
+            bring_in(spark, feed, spark.createDataFrame(days, "snapshot_date date, file_name string"))
+
     return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("snapshot_date")
-        .option("path", feed.store)
+        landing_stream(spark, feed, files_per_batch)
+        .writeStream.foreachBatch(load)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

@@ -34,7 +34,7 @@ def skewed(spark):
 
 def test_hot_day_is_many_parts_and_arrives_whole(spark, skewed):
     feed, events = skewed
-    result = backfill(spark, feed, queries.FIRST_DAY, queries.LAST_DAY, run="r").collect()
+    result = backfill(spark, feed, *queries._range(spark, SF_DIR), run="r").collect()
     assert {r.status for r in result} == {"LOADED"}
     rows = store.read_store(spark, feed.store, queries.EVENTS)
     parts = landing.landing_files(spark, feed.landing, feed.prefix)
