@@ -102,13 +102,10 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     firsts = (dealt.groupBy("__g", "id").agg(F.min("th").alias("th")).groupBy("__g")
               .agg(F.max(F.struct("id", "th")).alias("f")).select("__g", "f.id", "f.th"))
     firsts = settle(firsts)
-    wrapped = firsts.agg(F.max("__g").alias("__top"))
-    follow = firsts.select("__g", F.lead("id").over(Window.orderBy(F.desc("__g"))).alias("i"),
-                           F.lead("th").over(Window.orderBy(F.desc("__g"))).alias("t"))
-    top = firsts.join(F.broadcast(wrapped), F.col("__g") == F.col("__top")).select(
-        F.col("id").alias("ti"), F.col("th").alias("tt"))
-    follow = follow.crossJoin(F.broadcast(top)).select(
-        F.col("__g").alias("__of"), F.coalesce("i", "ti").alias("id"), F.coalesce("t", "tt").alias("th"))
+    down = Window.orderBy(F.desc("__g"))
+    every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = firsts.select(F.col("__g").alias("__of"), *(
+        F.coalesce(F.lead(c).over(down), F.first(c).over(every)).alias(c) for c in ("id", "th")))
     handed = (rows.join(F.broadcast(follow), ["id", "th"])
               .select(F.col("__of").alias("__g"), *(F.col(c).alias(f"__h{c}") for c in columns))
               .dropDuplicates(["__g"]))
