@@ -64,11 +64,14 @@ def write_archives(
     revisit = F.col("refers_to").isNotNull()
     last = F.when(revisit, 0).otherwise(
         F.greatest(F.ceil(F.col("n_bytes") / chunk_bytes) - 1, F.lit(0))).cast("int")
-    rows = records.withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("last", last)
+    # Cut before the rows are multiplied, so that no chunk's row carries the whole payload.
+    payload = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(
+        payload, k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    rows = records.select(
+        "page_id", "url", "digest", "n_bytes", "refers_to", last.alias("last"), F.posexplode(chunks).alias("k", "body"))
     name = F.concat(F.lit(f"<{RECORD}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    first = F.col("k") == 0
-    body = F.when(revisit, F.lit(b"")).otherwise(
-        F.substring("payload", F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    first, body = F.col("k") == 0, F.col("body")
     http = F.when(first & ~revisit, F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
         F.col("n_bytes").cast("string"), F.lit(END + END))).otherwise("")
