@@ -6,6 +6,7 @@ installed there; pyarrow and numpy must be.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import gzip
 import sys
@@ -24,7 +25,17 @@ _CHECK_ARROW = pa.schema(
         ("file_path", pa.string()),
         ("error", pa.string()),
         ("header", pa.list_(pa.string())),
-        ("newlines", pa.int64()),
+        ("lines", pa.int64()),
+        ("bytes", pa.int64()),
+    ]
+)
+
+
+_COUNT_ARROW = pa.schema(
+    [
+        ("uri", pa.string()),
+        ("header", pa.list_(pa.string())),
+        ("lines", pa.int64()),
         ("bytes", pa.int64()),
     ]
 )
@@ -53,24 +64,57 @@ def check_batches(
             yield pa.RecordBatch.from_pylist([found], schema=_CHECK_ARROW)
 
 
+def _header_in(line: bytes, comment: str | None) -> list[str] | None:
+    """The names in a line, unless it is blank or a comment."""
+    text = line.decode("utf-8-sig", "replace").rstrip("\r\n")
+    if not text or (comment and text.startswith(comment)):
+        return None
+    return next(csv.reader([text]))
+
+
 def _check_gzip(content: pa.Buffer, comment: str | None) -> dict:
     """Read to the end in pieces; only the header line and counts are kept."""
-    found = {"error": None, "header": None, "newlines": 0, "bytes": 0}
+    found = {"error": None, "header": None, "lines": 0, "bytes": 0}
+    last = b"\n"
     try:
         with gzip.GzipFile(fileobj=pa.BufferReader(content)) as stream:
-            for line in stream:
-                _count(found, line)
-                text = line.decode("utf-8-sig", "replace").rstrip("\r\n")
-                if text and not (comment and text.startswith(comment)):
-                    found["header"] = next(csv.reader([text]))
+            for no, line in enumerate(stream):
+                last = _count(found, line.removeprefix(codecs.BOM_UTF8) if not no else line)
+                found["header"] = _header_in(line, comment)
+                if found["header"] is not None:
                     break
             while piece := stream.read(1 << 20):
-                _count(found, piece)
+                last = _count(found, piece)
+        found["lines"] += last != b"\n"
     except (OSError, EOFError, zlib.error) as e:
-        found["error"] = f"unreadable file: {e}"
+        return {"error": f"unreadable file: {e}", "header": None, "lines": 0, "bytes": 0}
     return found
 
 
-def _count(found: dict, piece: bytes) -> None:
-    found["newlines"] += piece.count(b"\n")
-    found["bytes"] += len(piece)
+def _count(found: dict, piece: bytes) -> bytes:
+    """Add the piece's lines and their bytes; returns its last byte."""
+    feeds = piece.count(b"\n")
+    found["lines"] += feeds
+    found["bytes"] += len(piece) - feeds
+    return piece[-1:] or b"\n"
+
+
+def count_lines(
+    batches: Iterator[pa.RecordBatch], comment: str | None
+) -> Iterator[pa.RecordBatch]:
+    """Of each file in a batch of lines (uri, value) the counts, and once the header."""
+    titled = set()
+    for batch in batches:
+        runs = pc.run_end_encode(batch["uri"])
+        rows, start = [], 0
+        for uri, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            values, header = batch["value"].slice(start, end - start), None
+            if uri not in titled:
+                found = (_header_in(v.as_py(), comment) for v in values)
+                header = next((names for names in found if names is not None), None)
+                if header is not None:
+                    titled.add(uri)
+            size = pc.sum(pc.binary_length(values)).as_py()
+            rows.append({"uri": uri, "header": header, "lines": len(values), "bytes": size})
+            start = end
+        yield pa.RecordBatch.from_pylist(rows, schema=_COUNT_ARROW)

@@ -66,13 +66,13 @@ def compare_days(landing: DataFrame, store: DataFrame, columns: Sequence[str]) -
 
 
 def readable_days(checked: DataFrame, prefix: str) -> DataFrame:
-    """File checks per day: parts, unreadable parts, line ends."""
+    """File checks per day: parts, unreadable parts, lines of the others."""
     return checked.groupBy(
         file_name_in(F.col("file_path"), prefix).alias("file_name")
     ).agg(
         F.count(F.lit(1)).alias("parts"),
         F.count("error").alias("unreadable_parts"),
-        F.sum("newlines").alias("newlines"),
+        F.sum("lines").alias("lines"),
         F.min("error").alias("error"),
     )
 

@@ -396,7 +396,7 @@ def readable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = landing.check_files(spark, [_once(spark, sf_dir, _landing)])
     days = checks.readable_days(checked, PREFIX)
     # Every part has one header line; a quoted cell may hold line ends of its own.
-    lines_ = (F.col("newlines") - F.col("parts")).alias("lines")
+    lines_ = (F.col("lines") - F.col("parts")).alias("lines")
     return days.select("file_name", "unreadable_parts", lines_)
 
 

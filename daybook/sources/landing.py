@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.constants import FILE_SUFFIX
-from daybook.functions.intask import check_batches
+from daybook.functions.intask import check_batches, count_lines
 from daybook.functions.naming import day_in, day_path, file_name_in
-from daybook.session import read_or_empty
-from daybook.sources.snapshots import header_of
+from daybook.session import read_or_empty, settle
 
 FILE_SCHEMA = "file_name string, snapshot_date date, path string, file_path string, length bigint"
 CHECK_SCHEMA = (
-    "file_path string, error string, header array<string>, newlines bigint, bytes bigint"
+    "file_path string, error string, header array<string>, lines bigint, bytes bigint"
 )
 
-# A file up to this size is checked from its bytes inside one task. Larger ones
-# are checked by streaming them through Spark's own text reader.
+COUNT_SCHEMA = "uri string, header array<string>, lines bigint, bytes bigint"
+
+# A file up to this size is checked from its bytes inside one task, which names every
+# broken one in one pass. Larger ones do not fit there and stream through the text reader.
 IN_TASK_BYTES = 256 << 20
 
+# What decompression throws at a file that is cut off, corrupt or no gzip file.
+CONTENT_ERRORS = (
+    "java.io.EOFException", "java.io.IOException",
+    "java.util.zip.DataFormatException", "java.util.zip.ZipException",
+)
+
 
 def landing_files(
     spark: SparkSession, folder: str, prefix: str, names: Sequence[str] | None = None
@@ -74,36 +81,74 @@ def landed_days(files: DataFrame) -> DataFrame:
 def check_files(
     spark: SparkSession, paths: Sequence[str], comment: str | None = None
 ) -> DataFrame:
-    """Decompress every file to its end; one row per file, ``error`` null if sound."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{FILE_SUFFIX}")
-        .option("recursiveFileLookup", True)
-        .load(list(paths))
-    )
+    """Decompress every file to its end; one row per file, ``error`` null if sound.
+
+    ``lines`` are what line feeds separate, and ``bytes`` those of the lines.
+    Only what is wrong with a file itself becomes its error; anything else is
+    raised. The columns do not depend on how large a file is.
+    """
+    options = {"pathGlobFilter": f"*{FILE_SUFFIX}", "recursiveFileLookup": True}
+    files = spark.read.format("binaryFile").options(**options).load(list(paths))
     checked = (
         files.where(F.col("length") <= IN_TASK_BYTES)
         .select("path", "content")
         .mapInArrow(partial(check_batches, comment=comment), CHECK_SCHEMA)
     )
-    large = files.where(F.col("length") > IN_TASK_BYTES).select("path").collect()
-    if not large:
+    large = files.where(F.col("length") > IN_TASK_BYTES).select(
+        F.col("path").alias("file_path"), F.col("_metadata.file_path").alias("uri")
+    )
+    if large.isEmpty():
         return checked
-    broken = _unreadable(spark, [row.path for row in large])
-    rows = [
-        (path, broken.get(path), None if path in broken else header_of(spark, path, comment), None, None)
-        for (path,) in large
-    ]
-    return checked.unionByName(spark.createDataFrame(rows, CHECK_SCHEMA))
-
-
-def _unreadable(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Files Spark's text reader cannot read to the end, found by halving the set."""
-    try:
-        spark.read.text(paths).agg(F.sum(F.length("value"))).collect()
-    except Exception as e:  # whatever the job died of, it is this set's fault or its only file's
-        if len(paths) == 1:
-            return {paths[0]: f"unreadable file: {str(e).splitlines()[0]}"}
-        half = len(paths) // 2
-        return _unreadable(spark, paths[:half]) | _unreadable(spark, paths[half:])
-    return {}
+    text = (
+        spark.read.options(**options, lineSep="\n").text(list(paths))
+        .where(F.col("_metadata.file_size") > IN_TASK_BYTES)
+    )
+    counts, broken = _read_through(text, comment)
+    faults = spark.createDataFrame(list(broken.items()), "uri string, error string")
+    sound = F.col("error").isNull()
+    through = (
+        large.join(faults, "uri", "left").join(counts, "uri", "left")
+        .select("file_path", "error", "header", *(
+            F.when(sound, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("lines", "bytes")))
+    )
+    return checked.unionByName(through)
+
+
+def _read_through(text: DataFrame, comment: str | None) -> tuple[DataFrame, dict[str, str]]:
+    """Counts of the files that can be read, and what is wrong with the others.
+
+    The lines stream through the tasks, so memory does not grow with a file. A
+    file that cannot be read ends the job, which runs again without it.
+    """
+    uri = F.col("_metadata.file_path")
+    broken: dict[str, str] = {}
+    while True:
+        rest = text.where(~uri.isin(list(broken))) if broken else text
+        counts = (
+            rest.select(uri.alias("uri"), F.col("value").cast("binary").alias("value"))
+            .mapInArrow(partial(count_lines, comment=comment), COUNT_SCHEMA)
+            .groupBy("uri")
+            .agg(F.max("header").alias("header"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+        )
+        try:
+            return settle(counts), broken
+        except Exception as e:
+            found = _broken_file(e)
+            if found is None or found[0] in broken:
+                raise
+            broken[found[0]] = f"unreadable file: {found[1]}"
+
+
+def _broken_file(error: Exception) -> tuple[str, str] | None:
+    """Which file a job died of and why, if its content is at fault and nothing else."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    path = kind = text = None
+    while cause is not None:
+        kind, text = cause.getClass().getName(), cause.getMessage()
+        if kind == "org.apache.spark.SparkException" and (cause.getCondition() or "").startswith("FAILED_READ_FILE"):
+            path = cause.getMessageParameters().get("path")
+        cause = cause.getCause()
+    if path is None or kind not in CONTENT_ERRORS:
+        return None
+    # As the file's metadata writes it.
+    return path.replace(":///", ":/", 1), text or kind

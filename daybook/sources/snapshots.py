@@ -34,11 +34,6 @@ def csv_options(comment: str | None) -> dict:
     return options | ({"comment": comment} if comment else {})
 
 
-def header_of(spark: SparkSession, path: str, comment: str | None = None) -> list[str]:
-    """Column names of one file; reads its first lines only."""
-    return spark.read.options(**csv_options(comment)).csv(path).columns
-
-
 def csv_cells(
     reader: DataFrameReader | DataStreamReader,
     schema: T.StructType,

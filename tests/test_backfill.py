@@ -140,6 +140,38 @@ def test_large_files_are_checked_too(site, monkeypatch):
     assert site.store() == rows_of(1, 3, 4, 6)
 
 
+def test_checks_do_not_depend_on_size(site, monkeypatch):
+    noise = os.urandom(5000).hex()
+    texts = ["id,score,n\na,1,1\n", "#c\n\n\ufeffid,n\na\r\n\nno end", "\ufeffid\né\n", "\n", "", '"a,b",c\n']
+    for n, text in enumerate(texts):
+        site.land(1, part=f"a b{n}.csv.gz", text=text)
+    site.land(2, raw=gzip.compress(noise.encode())[:900])
+    site.land(3, raw=b"not gzip at all")
+
+    def checked():
+        rows = landing.check_files(site.spark, [site.feed.landing], "#").collect()
+        return {r.file_path: (bool(r.error), r.header, r.lines, r.bytes) for r in rows}
+
+    small = checked()
+    monkeypatch.setattr(landing, "IN_TASK_BYTES", 10)
+    assert checked() == small and len(small) == len(texts) + 2
+    assert all(None not in found[2:] for found in small.values())
+    assert sorted((r[2], r[3]) for r in small.values()) == sorted(
+        [(2, 15), (6, 17), (2, 4), (1, 0), (0, 0), (1, 7), (0, 0), (0, 0)])
+
+
+def test_errors_outside_the_files_are_no_verdict_on_them(site, monkeypatch):
+    site.land(1)
+    monkeypatch.setattr(landing, "IN_TASK_BYTES", 10)
+
+    def lost(*_, **__):
+        raise RuntimeError("lost executor")
+
+    monkeypatch.setattr(landing, "count_lines", lost)
+    with pytest.raises(Exception, match="lost executor"):
+        landing.check_files(site.spark, [site.feed.landing])
+
+
 def test_every_day_unreadable(site):
     for n in range(1, 7):
         site.land(n, raw=b"junk")
