@@ -52,6 +52,12 @@ def _points(rows: DataFrame, copies: int) -> DataFrame:
     return few.join(nodes, ["h1", "h2"]).select("vec_id", "e", "h1", "h2", "node").dropDuplicates(["vec_id", "node"])
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # keeps squares finite
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def _codes(vectors: np.ndarray, bits: int) -> np.ndarray:
     """For each vector and table the sides of ``bits`` planes it is on, as a number."""
     rng = np.random.default_rng(SEED)
@@ -61,21 +67,18 @@ def _codes(vectors: np.ndarray, bits: int) -> np.ndarray:
         (len(vectors), TABLES), np.int64)
 
 
-def _sketched(nodes: DataFrame, bits: int) -> DataFrame:
-    """node, dim, vec (unit length, half precision), codes of each point (node, e)."""
+def _sketched(nodes: DataFrame, bits: int, kind: str) -> DataFrame:
+    """node, dim, vec (the components as given, of numpy type ``kind``), codes of each point (node, e)."""
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             dims = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 own = part.filter(pa.array(dims == dim))
                 v = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)  # keeps squares finite
-                v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-                half = v.astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), pa.array(np.full(len(v), dim, np.int32)),
-                     pa.array([x.tobytes() for x in half], pa.binary()),
-                     pa.array(_codes(v, bits).tolist(), pa.list_(pa.int64()))],
+                     pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()),
+                     pa.array(_codes(_unit(v), bits).tolist(), pa.list_(pa.int64()))],
                     names=["node", "dim", "vec", "codes"])
 
     return nodes.select("node", "e").mapInArrow(scan, "node bigint, dim int, vec binary, codes array<bigint>")
@@ -84,18 +87,19 @@ def _sketched(nodes: DataFrame, bits: int) -> DataFrame:
 _NEAR = "u bigint, near array<struct<s:double,v:bigint>>"
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    data = vectors.to_pylist()
-    return np.frombuffer(b"".join(data), np.float16).reshape(len(data), -1).astype(np.float64)
+def _matrix(data: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of length 1, one for each of ``data``, in double precision."""
+    return _unit(np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64))
 
 
 def _best_of(u: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> pa.RecordBatch:
-    """A row for each u with its ``keep`` best pairs, each pair once."""
-    s = np.round(s, 6)
-    order = np.lexsort((v, -s, u))
+    """A row for each u with its ``keep`` best pairs, each pair once, though its sums may differ in the last bits."""
+    order = np.lexsort((-s, v, u))
     u, v, s = u[order], v[order], s[order]
     once = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][:len(u)]
     u, v, s = u[once], v[once], s[once]
+    order = np.lexsort((v, -s, u))
+    u, v, s = u[order], v[order], s[order]
     begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])[:len(u)]
     rank = np.arange(len(u)) - np.repeat(begin, np.diff(np.r_[begin, len(u)]))
     first = rank < keep
@@ -109,11 +113,16 @@ def _best_of(u: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> pa.Recor
 
 def _merge(lists: DataFrame, degree: int) -> DataFrame:
     """The ``degree`` best of the lists of each u."""
-    every = F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False)
-    return lists.groupBy("u").agg(F.slice(every, 1, degree).alias("near"))
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = part.column(1).value_lengths().to_numpy()
+            s, v = (c.to_numpy() for c in part.column(1).flatten().flatten())
+            yield _best_of(np.repeat(part.column(0).to_numpy(), sizes), v, s, degree)
+
+    return lists.groupBy("u").agg(F.flatten(F.collect_list("near")).alias("near")).mapInArrow(best, _NEAR)
 
 
-def _first_graph(points: DataFrame, degree: int) -> DataFrame:
+def _first_graph(points: DataFrame, degree: int, kind: str) -> DataFrame:
     """Neighbours within blocks of vectors that share a code."""
     placed = points.select("node", "dim", "vec", F.posexplode("codes").alias("t", "code"))
     sizes = placed.groupBy("dim", "t", "code").agg(F.count("*").alias("n"))
@@ -127,7 +136,7 @@ def _first_graph(points: DataFrame, degree: int) -> DataFrame:
         for part in parts:
             for k in range(part.num_rows):
                 ids = part.column(0)[k].values.to_numpy()
-                vectors = _matrix(part.column(1)[k].values)
+                vectors = _matrix(part.column(1)[k].as_py(), kind)
                 s = vectors @ vectors.T
                 np.fill_diagonal(s, -3)
                 few = min(FIRST, len(ids) - 1)
@@ -148,7 +157,7 @@ def _both_ways(graph: DataFrame, degree: int) -> DataFrame:
     return out.union(back).distinct()
 
 
-def _round(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
+def _round(graph: DataFrame, points: DataFrame, degree: int, kind: str) -> DataFrame:
     """The graph after each vector's neighbours have met."""
     meet = _both_ways(graph, degree).union(graph.select(F.col("u").alias("c"), F.col("u").alias("m")))
     worst = F.when(F.size("near") >= degree, F.element_at("near.s", -1)).otherwise(-2.0)
@@ -166,10 +175,10 @@ def _round(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
             found: list[tuple] = []
             held = 0
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                vectors = _matrix(data.slice(a, b - a))
+                vectors = _matrix(data.slice(a, b - a).to_pylist(), kind)
                 s = vectors @ vectors.T
                 np.fill_diagonal(s, -3)
-                i, j = np.nonzero(s > worsts[a:b, None] + 1e-6)
+                i, j = np.nonzero(s > worsts[a:b, None])
                 found.append((ids[a:b][i], ids[a:b][j], s[i, j]))
                 held += len(i)
                 if held > 2_000_000:
@@ -181,24 +190,23 @@ def _round(graph: DataFrame, points: DataFrame, degree: int) -> DataFrame:
     return _merge(graph.union(rows.mapInArrow(join, _NEAR)), degree)
 
 
-def build_graph(points: DataFrame, degree: int = DEGREE) -> DataFrame:
+def build_graph(points: DataFrame, degree: int = DEGREE, kind: str = "f8") -> DataFrame:
     """u, near: for every point (node, vec, codes) its best neighbours found, best first.
 
     A point without any comparable other has no row.
     """
-    graph = settle(_first_graph(points, degree))
-    total = lambda g: g.agg(F.sum(F.aggregate("near.s", F.lit(0.0), lambda x, y: x + y))).first()[0] or 0.0
-    before = total(graph)
+    graph = settle(_first_graph(points, degree, kind))
     for _ in range(ROUNDS):
-        graph = settle(_round(graph, points, degree))
-        after = total(graph)
-        if after - before <= SETTLED * abs(before):
+        before, graph = graph, settle(_round(graph, points, degree, kind))
+        # Neighbours are counted, since scores among near copies hardly change.
+        new = graph.join(before.select("u", F.col("near.v").alias("old")), "u").agg(
+            F.sum(F.size(F.array_except("near.v", "old"))), F.sum(F.size("near"))).first()
+        if (new[0] or 0) <= SETTLED * (new[1] or 0):
             break
-        before = after
     return graph
 
 
-def _step(state: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
+def _step(state: DataFrame, edges: DataFrame, points: DataFrame, kind: str) -> DataFrame:
     """State (q, vec, best, seen, open) after going on from the nodes in ``open``."""
     open_ = state.select("q", F.explode("open").alias("u"))
     reached = open_.join(edges, "u").select("q", F.explode("vs").alias("node")).distinct()
@@ -216,9 +224,7 @@ def _step(state: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
                 ids = row["ids"] or []
                 fresh = [k for k, v in enumerate(ids) if v not in best and v != row["q"]]
                 if fresh:
-                    own = np.frombuffer(row["vec"], np.float16).astype(np.float64)
-                    near = np.frombuffer(b"".join(row["vecs"][k] for k in fresh), np.float16)
-                    s = near.reshape(len(fresh), -1).astype(np.float64) @ own
+                    s = _matrix([row["vecs"][k] for k in fresh], kind) @ _matrix([row["vec"]], kind)[0]
                     best |= {ids[k]: x for k, x in zip(fresh, s.tolist(), strict=True)}
                 top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:KEPT]
                 ahead = [v for v, _ in top if v not in seen][:BEAM]
@@ -240,7 +246,7 @@ def part_schema() -> pa.Schema:
                       ("seen", ids), ("open", ids)])
 
 
-def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, starts: DataFrame, kind: str = "f8") -> DataFrame:
     """q, best: for each point of ``starts`` (node) the ``KEPT`` nearest others that the search found."""
     own = starts.select(F.col("node").alias("q")).distinct()
     ids = F.array().cast("array<bigint>")
@@ -251,7 +257,7 @@ def search(graph: DataFrame, points: DataFrame, starts: DataFrame) -> DataFrame:
     edges = settle(_both_ways(graph, DEGREE).groupBy(F.col("c").alias("u")).agg(F.collect_list("m").alias("vs")))
     done = None
     for _ in range(STEPS):
-        state = settle(_step(state, edges, points))
+        state = settle(_step(state, edges, points, kind))
         over = state.where(F.size("open") == 0).select("q", "best")
         done = over if done is None else done.union(over)
         state = state.where(F.size("open") > 0)
@@ -294,14 +300,20 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     nodes = members.where("vec_id = node")
     count = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(count, 1) / BLOCK))))
-    points = settle(_sketched(nodes, bits))
-    graph = build_graph(points)
+    # Components of a type that holds them exactly.
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "f4" if single else "f8"
+    points = settle(_sketched(nodes, bits, kind))
+    graph = build_graph(points, kind=kind)
     asked = settle(sound.where(is_query).select(
         F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.xxhash64("e").alias("h1"),
         F.xxhash64(F.lit(7), "e").alias("h2")).join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
         .drop("h1", "h2").dropDuplicates(["query_id", "node"]))
-    found = search(graph, points, asked)
-    wide = found.select(F.col("q").alias("node"), F.explode(F.slice("best.v", 1, 3 * k)).alias("other"))
+    found = search(graph, points, asked, kind)
+    # All that may be among the best once they are scored as the result is; sums differ by far less.
+    last = F.coalesce(F.try_element_at("best.s", F.lit(k)), F.lit(-2.0)) - 1e-9
+    wide = found.select(F.col("q").alias("node"), F.explode(
+        F.transform(F.filter("best", lambda x: x["s"] >= last), lambda x: x["v"])).alias("other"))
     near = asked.select("node").distinct().select("node", F.col("node").alias("other")).union(wide)
     scored = (asked.join(near, "node")
               .join(members.select(F.col("node").alias("other"), "vec_id", "e"), "other")
