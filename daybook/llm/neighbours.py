@@ -27,6 +27,8 @@ from daybook.session import settle
 DEGREE = 24
 #: Sets of random planes, vectors of a block that are compared at the start, and neighbours taken from it.
 TABLES, BLOCK, FIRST = 12, 1024, 12
+#: Tables of half the planes, and of none: there a block holds any vectors.
+COARSE, ONE_CELL = 2, 2
 #: Rounds of NN-descent at most; they end when the graph hardly improves.
 ROUNDS, SETTLED = 6, 0.002
 #: Vectors a search keeps, how many it goes on from at once, and rounds at most.
@@ -59,12 +61,19 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _codes(vectors: np.ndarray, bits: int) -> np.ndarray:
-    """For each vector and table the sides of ``bits`` planes it is on, as a number."""
+    """For each vector and table the sides of ``bits`` planes it is on, as a number.
+
+    The tables behind the first ``TABLES`` are coarser, and the last ones have
+    all vectors in one cell, so that nobody is alone in all of them.
+    """
     rng = np.random.default_rng(SEED)
     planes = rng.standard_normal((TABLES, max(bits, 1), vectors.shape[1]))
     sides = np.einsum("nd,tbd->ntb", vectors, planes) > 0
-    return (sides[:, :, :bits] @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(
-        (len(vectors), TABLES), np.int64)
+    if not bits:
+        return np.zeros((len(vectors), TABLES), np.int64)
+    fine = (sides[:, :, :bits] @ (1 << np.arange(bits))).astype(np.int64)
+    return np.concatenate([fine, fine[:, :COARSE] >> (bits - bits // 2), np.zeros((len(vectors), ONE_CELL), np.int64)],
+                          axis=1)
 
 
 def _sketched(nodes: DataFrame, bits: int, kind: str) -> DataFrame:
@@ -318,6 +327,25 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     scored = (asked.join(near, "node")
               .join(members.select(F.col("node").alias("other"), "vec_id", "e"), "other")
               .where("vec_id <> query_id").select("query_id", "vec_id", _cosine("qe", "e").alias("score")))
+    ranked = settle(_ranked(scored, k))
+    # A query that the search found too little for is compared with every row, in as many blocks as there are tasks.
+    full = ranked.where(F.col("rank") == k).select("query_id")
+    short = settle(asked.join(full, "query_id", "left_anti"))
+    if not short.limit(1).count():
+        return ranked
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = short.select("query_id", "qe", F.size("qe").alias("dim"), F.explode(
+        F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = members.select("vec_id", "e", F.size("e").alias("dim"),
+                           F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    every = spread.join(dealt, ["dim", "part"]).where("vec_id <> query_id").select(
+        "query_id", "vec_id", _cosine("qe", "e").alias("score"))
+    return ranked.join(short.select("query_id"), "query_id", "left_anti").select(
+        "query_id", "rank", "vec_id", "score").union(_ranked(every, k))
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best of each query."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

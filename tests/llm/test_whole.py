@@ -31,3 +31,15 @@ def test_neighbours_among_near_copies(spark):
     v = v.astype(np.float32)
     share, _ = recall(vectors(spark, v), v, 10)
     assert share >= 0.95
+
+
+def test_neighbours_of_lone_vectors(spark, monkeypatch):
+    """Vectors off the centre share their side of most planes; one opposite is in no cell with another."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)  # cells as fine as in a large table
+    rng = np.random.default_rng(6)
+    v = (rng.standard_normal((640, 32)) + 10).astype(np.float32)
+    v[0] *= -1
+    _, fewest = recall(vectors(spark, v), v, 20)
+    assert fewest == 5
+    few = vectors(spark, v[:4])
+    assert neighbours.nearest(few, F.lit(True)).groupBy("query_id").count().where("count = 3").count() == 4
