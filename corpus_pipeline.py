@@ -24,8 +24,14 @@ def _documents(df: DataFrame, text: Column) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without text or letters go."""
-    found = language.identify(docs, language.learn(docs), keep=COLUMNS)
+    """Documents in which a language is found; those without text or letters go.
+
+    Where no label teaches a language, all documents with letters stay.
+    """
+    model = language.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.identify(docs, model, keep=COLUMNS)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

@@ -155,17 +155,18 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 def sample(docs: DataFrame, texts_per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """Some hundred documents of each label, the same ones at every run: the least text hashes.
 
-    A first pass counts the labels, a second keeps the share that is needed with
-    some to spare; only those are ranked.
+    A first pass counts each label's distinct texts, about, as copies are one text of
+    the sample; a second keeps the share that is needed with some to spare; only
+    those are ranked.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = docs.where("lang IS NOT NULL").groupBy("lang").count().collect()
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()
     if not counted:
         return {}
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     most = F.lit(0)
     for row in counted:
-        share = min(1.0, (4 * texts_per_language + 100) / row["count"])
+        share = min(1.0, (4 * texts_per_language + 100) / max(row["texts"], 1))
         most = F.when(F.col("lang") == row["lang"], int(share * (1 << 30))).otherwise(most)
     near = labelled.where(place < most).select(
         "lang", place.alias("place"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()

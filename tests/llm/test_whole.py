@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from daybook.llm import neighbours
+import corpus_pipeline
+from daybook.llm import language, neighbours
 
 
 def vectors(spark, v):
@@ -43,3 +44,18 @@ def test_neighbours_of_lone_vectors(spark, monkeypatch):
     assert fewest == 5
     few = vectors(spark, v[:4])
     assert neighbours.nearest(few, F.lit(True)).groupBy("query_id").count().where("count = 3").count() == 4
+
+
+def test_copies_leave_a_label_its_sample(spark):
+    """Copies, null and letterless texts take nothing of the share of a label's distinct texts."""
+    copies = spark.range(40_000).select(F.lit("a").alias("lang"), F.when(F.col("id") % 3 > 0, "one text").when(
+        F.col("id") % 2 == 0, "1 2").alias("text"))
+    others = spark.range(600).select(F.lit("a").alias("lang"), F.concat(F.lit("text no "), "id").alias("text"))
+    got = language.sample(copies.union(others))
+    assert len(got["a"]) == len(set(got["a"])) == language.SAMPLE_DOCS
+
+
+def test_documents_stay_if_no_language_is_learned(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "1 2", None, "s", 3), (3, None, "en", "s", 0)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()] == [1]
