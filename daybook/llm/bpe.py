@@ -4,7 +4,9 @@ All words of a batch that were not met before are laid out as one array of
 symbols. An index maps each mergeable pair to all its positions; the ranks that
 occur are applied in ascending order to every position at once, and the lists
 of the pairs that a merge makes or breaks are updated. Words are met again and
-again, so their encodings are kept, within a bound, for the following rows.
+again, so their encodings are kept for the following rows, in two generations:
+a piece that is met moves to the newer one, and the older one is dropped when
+the newer is full. So common pieces stay, however many rare ones come by.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from hashlib import sha256
 from typing import Any
 
 import numpy as np
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from daybook.llm.shipping import ship
 
-#: Encoded pieces of text that a worker keeps; beyond it the table starts anew.
-KEPT = 400_000
+#: Encoded pieces of text after which a worker's table takes its next turn: what was
+#: met in neither of the last two turns is forgotten.
+KEPT = 250_000
 #: Characters of text whose pieces are looked up together.
 TOGETHER = 8_000_000
 
@@ -126,9 +128,13 @@ class PairIndex:
 
 
 class Codec:
-    """Encodes texts piece by piece; ``render`` turns a piece's ids into what is kept."""
+    """Encodes texts piece by piece.
 
-    def __init__(self, path: str, render: Callable[[list[int], list[str]], Any]):
+    ``render`` turns a word's ids into what is kept, ``join`` what is kept of
+    the words of a piece, or of the pieces of a text, into that of the whole.
+    """
+
+    def __init__(self, path: str, render: Callable[[list[int], list[str]], Any], join: Callable[[list], Any]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -141,9 +147,10 @@ class Codec:
         self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or r"(?!)")
         self.words = regex.compile(WORDS)
-        self.render = render
+        self.render, self.join = render, join
         self.path = path
-        self.kept: dict[Any, Any] = {}
+        self.kept: dict[Any, Any] = {}  # met since the last turn
+        self.aged: dict[Any, Any] = {}  # met in the turn before
         self._library = None
 
     def _split_by_library(self, text: str) -> list[tuple[str, ...]]:
@@ -173,46 +180,63 @@ class Codec:
     def rendered(self, texts: Iterable[str]) -> Iterator[list]:
         """For each text what ``render`` made of its pieces, in order."""
         cut = [self.pieces(t) for t in texts]
-        fresh = {p for pieces in cut for p in pieces} - self.kept.keys()
-        if len(self.kept) + len(fresh) > KEPT:
-            self.kept.clear()
-            fresh = {p for pieces in cut for p in pieces}
-        self._learn(list(fresh))
-        kept = self.kept
+        if len(self.kept) > KEPT:  # what was not met since the last turn goes
+            self.aged, self.kept = self.kept, {}
+        kept, aged = self.kept, self.aged
+        fresh = []
+        for piece in set().union(*cut):
+            if piece not in kept:
+                known = aged.get(piece)
+                if known is None:
+                    fresh.append(piece)
+                else:
+                    kept[piece] = known
+        self._learn(fresh)
         return ([kept[p] for p in pieces] for pieces in cut)
 
     def _learn(self, pieces: list) -> None:
-        # Most pieces are one word; a list for each would only keep the collector busy.
-        words = [() if isinstance(p, int) else p if isinstance(p, tuple)
-                 else p if p.isalpha() else tuple(self.words.findall(p)) for p in pieces]
-        unique = {w for ws in words if not isinstance(ws, str) for w in ws}
-        unique.update(ws for ws in words if isinstance(ws, str))
-        unique = list(unique)
-        place = {w: k for k, w in enumerate(unique)}
-        flat: list[int] = []
-        begin = [0]
-        if unique:
-            ids, starts = self.index.encode(unique)
-            flat, begin = ids.tolist(), [*starts.tolist(), len(ids)]
-        for piece, ws in zip(pieces, words, strict=True):
-            if isinstance(ws, str):
-                k = place[ws]
-                got = flat[begin[k]:begin[k + 1]]
-            elif isinstance(piece, int):
-                got = [piece]
+        """A piece is made of its words; those are pieces, too, and mostly known."""
+        kept, aged = self.kept, self.aged
+        words: dict[Any, str] = {}
+        several: list[tuple[str, list[str]]] = []
+        for piece in pieces:
+            if isinstance(piece, int):
+                kept[piece] = self.render([piece], self.tokens)
+            elif isinstance(piece, tuple):
+                words[piece] = piece[0]
+            elif piece.isalpha():
+                words[piece] = piece
             else:
-                got = [i for w in ws for i in flat[begin[place[w]]:begin[place[w] + 1]]]
-            self.kept[piece] = self.render(got, self.tokens)
+                several.append((piece, self.words.findall(piece)))
+        for _, parts in several:
+            for word in parts:
+                if word not in kept:
+                    if word in aged:
+                        kept[word] = aged[word]
+                    else:
+                        words[word] = word
+        if words:
+            ids, starts = self.index.encode(list(words.values()))
+            flat, begin = ids.tolist(), [*starts.tolist(), len(ids)]
+            for k, word in enumerate(words):
+                kept[word] = self.render(flat[begin[k]:begin[k + 1]], self.tokens)
+        for piece, parts in several:
+            if len(parts) != 1 or parts[0] != piece:
+                kept[piece] = self.join([kept[word] for word in parts])
 
 
 def _texts_of(ids: list[int], tokens: list[str]) -> tuple[int, str, str]:
     return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
 
+def _join_texts(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+
+
 @lru_cache(maxsize=2)
-def codec(path: str, render: Callable) -> Codec:
+def codec(path: str, render: Callable, join: Callable) -> Codec:
     """One per worker process, so that what it has learnt serves all its tasks."""
-    return Codec(path, render)
+    return Codec(path, render, join)
 
 
 def batches(column: pa.Array) -> Iterator[list[str]]:
@@ -237,14 +261,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     row, repeated and null doc_ids included; other columns are not looked at.
     """
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, _texts_of)
+        own = codec(path, _texts_of, _join_texts)
         for part in parts:
             at = 0
             for texts in batches(part.column(1)):
-                found = []
-                for pieces in own.rendered(texts):
-                    found.append((sum(p[0] for p in pieces), " ".join([p[1] for p in pieces]),
-                                  " ".join([p[2] for p in pieces])))
+                found = [own.join(pieces) for pieces in own.rendered(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(at, len(texts)), pa.array([f[0] for f in found], pa.int64()),
                      pa.array([f[1] for f in found], pa.string()),
@@ -256,7 +277,3 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         encode, f"doc_id {kind}, n_tokens bigint, ids string, decoded string")
-
-
-def digest(text: str) -> str:
-    return sha256(text.encode()).hexdigest()

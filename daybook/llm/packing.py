@@ -84,7 +84,7 @@ def _bytes_of(ids: list[int], tokens: list[str]) -> bytes:
 def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``limit``."""
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = codec(path, _bytes_of), np.array([end_id], "<u4").tobytes()
+        own, last = codec(path, _bytes_of, b"".join), np.array([end_id], "<u4").tobytes()
         kind = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         for part in parts:
             ids = part.column(0).to_pylist()
@@ -92,7 +92,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) ->
             for texts in batches(part.column(1)):
                 rows = []
                 for doc, pieces in zip(ids[at:at + len(texts)], own.rendered(texts), strict=True):
-                    data = b"".join(pieces) + last
+                    data = own.join(pieces) + last
                     for k, start in enumerate(range(0, len(data) // 4, limit)):
                         piece = data[4 * start:4 * (start + limit)]
                         rows.append((doc, k, start, len(piece) // 4, zlib.crc32(piece)))

@@ -82,12 +82,27 @@ def test_encoding_is_the_librarys(docs, rows):
     assert got == want
 
 
-def test_kept_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", 10)
-    own = bpe.Codec(VOCABULARY, bpe._texts_of)
-    for at in range(5):
-        list(own.rendered([f"w{at}x{i}" for i in range(8)]))
-    assert len(own.kept) <= 16
+def test_kept_pieces_are_bounded_and_common_ones_stay(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    own = bpe.Codec(VOCABULARY, bpe._texts_of, bpe._join_texts)
+    learnt = []
+    encode = own.index.encode
+    monkeypatch.setattr(own.index, "encode", lambda words: (learnt.extend(words), encode(words))[1])
+    for at in range(30):
+        list(own.rendered([f"w{'z' * at}q{'y' * i} common, word" for i in range(8)]))
+        assert len(own.kept) + len(own.aged) <= 2 * (40 + 40)
+    assert learnt.count("common") == learnt.count(",") == learnt.count("word") == 1
+    assert len(learnt) == 30 * 8 + 3
+
+
+def test_pieces_share_their_words():
+    texts = ["x, y.", "x", ",", "x,x", "l'été d'x", "'s x's", "", "a" * 5000, "日本 x", "<|endoftext|>x", "\x1cx\x1c,"]
+    ids, decoded = library(texts)
+    own = bpe.Codec(VOCABULARY, bpe._texts_of, bpe._join_texts)
+    for order in (texts, texts[::-1]):
+        got = dict(zip(order, (own.join(p) for p in own.rendered(order)), strict=True))
+        assert [got[t] for t in texts] == [(len(i), " ".join(map(str, i)), d)
+                                           for i, d in zip(ids, decoded, strict=True)]
 
 
 def test_packing(docs, rows):
