@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, warc
+from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, spelling, warc
 from daybook.session import scratch
 
 
@@ -77,9 +77,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_documents(spark, sf_dir), least_chars=7, least_count=2, times=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_kd_shards, op3_bpe_codec, op4_simhash, op5_suffix_dedup, op6_warc, op7_order_minhash, op8_best_fit_packing, op9_nn_descent, op10_language_id)
+        op1_line_dedup, op2_kd_shards, op3_bpe_codec, op4_simhash, op5_suffix_dedup, op6_warc, op7_order_minhash, op8_best_fit_packing, op9_nn_descent, op10_language_id,
+        op11_spelling_variants)
 }
 
 ORACLES = {
