@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, spelling, warc
+from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, spelling, tries, warc
 from daybook.session import scratch
 
 
@@ -81,12 +81,22 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(_documents(spark, sf_dir), least_chars=7, least_count=2, times=10)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_kd_shards, op3_bpe_codec, op4_simhash, op5_suffix_dedup, op6_warc, op7_order_minhash, op8_best_fit_packing, op9_nn_descent, op10_language_id,
-        op11_spelling_variants)
+        op11_spelling_variants, op13_conversation_trie)
 }
 
+# The unsigned crc32 of a text of ASCII characters: a byte at a time, eight shifts each.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda crc, x: list_reduce(list_prepend(xor(crc, x), list_transform(range(8), lambda y: CAST(0 AS BIGINT))),
+                    lambda v, y: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+
 ORACLES = {
     "op1_line_dedup": """
         WITH l AS (
@@ -129,4 +139,42 @@ ORACLES = {
                    AS record_type,
                CASE WHEN p.page_id <> k.keep THEN k.keep END AS refers_to
         FROM p LEFT JOIN k ON p.digest = k.digest""",
+    "op13_conversation_trie": f"""
+        WITH o AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (
+            SELECT c, c - c % 5 AS base, {_CRC32.format(text="CAST(c AS VARCHAR)")} % 9 AS h, count(*) AS n
+            FROM o GROUP BY c),
+        k AS (
+            SELECT h.c, h.base, CASE WHEN h.c = h.base THEN 0 ELSE h.h END AS h,
+                   CASE WHEN h.c = h.base THEN 0 ELSE least(h.h, coalesce(b.n, 0)) END AS take, h.n
+            FROM h LEFT JOIN h AS b ON h.base = b.c),
+        r AS (
+            SELECT o.c, o.i - k.h + k.take AS i, role, text FROM o JOIN k ON o.c = k.c WHERE o.i >= k.h
+            UNION ALL
+            SELECT k.c, o.i, role, text FROM k JOIN o ON o.c = k.base WHERE o.i < k.take),
+        s AS (
+            SELECT k.c, k.take + greatest(k.n - k.h, 0) AS n,
+                   coalesce(list({{'r': role, 't': text}} ORDER BY i) FILTER (i IS NOT NULL), []) AS turns
+            FROM k LEFT JOIN r ON k.c = r.c GROUP BY ALL),
+        p AS (SELECT c, n, unnest(range(0, n + 1)) AS d, turns FROM s),
+        m AS (SELECT c, n, d, min(c) OVER (PARTITION BY d, turns[1:d]) AS top, turns[d].t AS t FROM p),
+        v AS (
+            SELECT top, d, count(*) AS n_convs, coalesce(strlen(any_value(t)), 0) AS size,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends
+            FROM m GROUP BY top, d),
+        w AS (
+            SELECT v.*, a.top AS parent, (SELECT count(DISTINCT x.top) FROM m AS x JOIN m AS y
+                   ON x.c = y.c AND x.d = y.d + 1 WHERE y.top = v.top AND y.d = v.d) AS n_children
+            FROM v LEFT JOIN m AS a ON a.c = v.top AND a.d = v.d - 1),
+        z AS (
+            SELECT a.top, a.d, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+                   sum((w.n_convs - 1) * w.size) AS saved
+            FROM w JOIN m AS a ON a.c = w.top AND a.d <= w.d GROUP BY a.top, a.d)
+        SELECT w.top AS conv_id, w.d AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children,
+               CAST(z.n_leaves AS BIGINT) AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens,
+               w.ends AS ends_sha256
+        FROM w JOIN z ON w.top = z.top AND w.d = z.d""",
 }
