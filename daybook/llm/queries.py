@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, spelling, tries, warc
+from daybook.llm import (
+    bpe, language, lines, neighbours, ordermin, packing, repeats, sharding, simhash, spelling, suffixtree, tries, warc)
 from daybook.session import scratch
 
 
@@ -81,6 +82,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(_documents(spark, sf_dir), least_chars=7, least_count=2, times=10)
 
 
+def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return suffixtree.suffix_tree_scores(_documents(spark, sf_dir), held_out)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -88,7 +94,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_kd_shards, op3_bpe_codec, op4_simhash, op5_suffix_dedup, op6_warc, op7_order_minhash, op8_best_fit_packing, op9_nn_descent, op10_language_id,
-        op11_spelling_variants, op13_conversation_trie)
+        op11_spelling_variants, op12_suffix_tree_scores, op13_conversation_trie)
 }
 
 # The unsigned crc32 of a text of ASCII characters: a byte at a time, eight shifts each.
