@@ -20,20 +20,13 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CHECK_ARROW = pa.schema(
-    [
-        ("file_path", pa.string()),
-        ("error", pa.string()),
-        ("header", pa.list_(pa.string())),
-        ("lines", pa.int64()),
-        ("bytes", pa.int64()),
-    ]
-)
+#: Bytes of text that are taken out of a file at a time.
+PIECE = 1 << 20
 
-
-_COUNT_ARROW = pa.schema(
+_CHECK_ARROW = pa.schema(
     [
         ("uri", pa.string()),
+        ("error", pa.string()),
         ("header", pa.list_(pa.string())),
         ("lines", pa.int64()),
         ("bytes", pa.int64()),
@@ -55,13 +48,31 @@ def count_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(np.concatenate(numbers) if numbers else [], pa.int64())
 
 
-def check_batches(
-    batches: Iterator[pa.RecordBatch], comment: str | None
-) -> Iterator[pa.RecordBatch]:
+def check_raw(batches: Iterator[pa.RecordBatch], comment: str | None) -> Iterator[pa.RecordBatch]:
+    """Decompress files that come as the pieces (uri, size, value) line feeds cut them into.
+
+    A task sees all pieces of a file in order, and keeps of it a window, the
+    line that may be its header, and counts.
+    """
+    uri, size, fed, file = None, 0, 0, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if file is not None:
+            yield pa.RecordBatch.from_pylist([{"uri": uri, **file.end()}], schema=_CHECK_ARROW)
+
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            found = {"file_path": path.as_py(), **_check_gzip(content.as_buffer(), comment)}
-            yield pa.RecordBatch.from_pylist([found], schema=_CHECK_ARROW)
+        runs = pc.run_end_encode(batch["uri"])
+        start = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != uri:
+                yield from done()
+                uri, size, fed, file = name, batch["size"][start].as_py(), 0, _GzipText(comment)
+            # Each piece has lost a line feed, but for the last one if the file ends without.
+            raw = b"\n".join(batch["value"].slice(start, end - start).to_pylist()) + b"\n"
+            file.feed(raw[: size - fed])
+            fed += len(raw)
+            start = end
+    yield from done()
 
 
 def _header_in(line: bytes, comment: str | None) -> list[str] | None:
@@ -72,49 +83,57 @@ def _header_in(line: bytes, comment: str | None) -> list[str] | None:
     return next(csv.reader([text]))
 
 
-def _check_gzip(content: pa.Buffer, comment: str | None) -> dict:
-    """Read to the end in pieces; only the header line and counts are kept."""
-    found = {"error": None, "header": None, "lines": 0, "bytes": 0}
-    last = b"\n"
-    try:
-        with gzip.GzipFile(fileobj=pa.BufferReader(content)) as stream:
-            for no, line in enumerate(stream):
-                last = _count(found, line.removeprefix(codecs.BOM_UTF8) if not no else line)
-                found["header"] = _header_in(line, comment)
-                if found["header"] is not None:
-                    break
-            while piece := stream.read(1 << 20):
-                last = _count(found, piece)
-        found["lines"] += last != b"\n"
-    except (OSError, EOFError, zlib.error) as e:
-        return {"error": f"unreadable file: {e}", "header": None, "lines": 0, "bytes": 0}
-    return found
-
-
-def _count(found: dict, piece: bytes) -> bytes:
-    """Add the piece's lines and their bytes; returns its last byte."""
-    feeds = piece.count(b"\n")
-    found["lines"] += feeds
-    found["bytes"] += len(piece) - feeds
-    return piece[-1:] or b"\n"
-
-
-def count_lines(
-    batches: Iterator[pa.RecordBatch], comment: str | None
-) -> Iterator[pa.RecordBatch]:
-    """Of each file in a batch of lines (uri, value) the counts, and once the header."""
-    titled = set()
-    for batch in batches:
-        runs = pc.run_end_encode(batch["uri"])
-        rows, start = [], 0
-        for uri, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
-            values, header = batch["value"].slice(start, end - start), None
-            if uri not in titled:
-                found = (_header_in(v.as_py(), comment) for v in values)
-                header = next((names for names in found if names is not None), None)
-                if header is not None:
-                    titled.add(uri)
-            size = pc.sum(pc.binary_length(values)).as_py()
-            rows.append({"uri": uri, "header": header, "lines": len(values), "bytes": size})
-            start = end
-        yield pa.RecordBatch.from_pylist(rows, schema=_COUNT_ARROW)
+class _GzipText:
+    """Reads the members of a gzip file one after another; what is no member is an error, as in a load."""
+
+    def __init__(self, comment: str | None):
+        self.comment = comment
+        self.member = None
+        self.error: str | None = None
+        self.header: list[str] | None = None
+        self.lines = self.bytes = 0
+        self.begin: bytes | None = b""  # until it is known whether a byte order mark comes first
+        self.head = b""  # the line so far that may be the header
+        self.last = b"\n"
+
+    def feed(self, data: bytes) -> None:
+        while data and self.error is None:
+            if self.member is None or self.member.eof:
+                self.member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            try:
+                self._text(self.member.decompress(data, PIECE))
+            except zlib.error as e:
+                self.error = f"unreadable file: {e}"
+            data = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+
+    def _text(self, text: bytes, last: bool = False) -> None:
+        if self.begin is not None:
+            text = self.begin + text
+            if len(text) < len(codecs.BOM_UTF8) and not last:
+                self.begin = text
+                return
+            text, self.begin = text.removeprefix(codecs.BOM_UTF8), None
+        feeds = text.count(b"\n")
+        self.lines += feeds
+        self.bytes += len(text) - feeds
+        self.last = text[-1:] or self.last
+        if self.header is None:
+            *whole, self.head = (self.head + text).split(b"\n")
+            for line in whole:
+                if self.header is None:
+                    self.header = _header_in(line, self.comment)
+
+    def end(self) -> dict:
+        if self.error is None and self.member is not None and not self.member.eof:
+            try:
+                self._text(self.member.flush())
+            except zlib.error as e:
+                self.error = f"unreadable file: {e}"
+            if not self.member.eof:
+                self.error = self.error or "unreadable file: it ends before its data does"
+        self._text(b"", last=True)
+        if self.error is not None:
+            return {"error": self.error, "header": None, "lines": 0, "bytes": 0}
+        if self.header is None:
+            self.header = _header_in(self.head, self.comment)
+        return {"error": None, "header": self.header, "lines": self.lines + (self.last != b"\n"), "bytes": self.bytes}

@@ -32,6 +32,24 @@ def with_names(days: DataFrame, prefix: str, day: str = "snapshot_date") -> Data
     return days.select(day, file_name(F.col(day), prefix).alias("file_name"))
 
 
+# Folders a day may lie in below the landing directory: none, its year, its month or its day.
+DATE_FOLDERS = ("", "yyyy/", "yyyy/MM/", "yyyy/MM/dd/")
+
+
+def lies_well(path: Column, landing: str, prefix: str) -> Column:
+    """Whether a path is a snapshot's, or that of a part, where one of ``landing`` may lie.
+
+    One rule for the listing, the check, the backfill and the stream: below the
+    landing directory come at most the folders of the day's own year, month and
+    day, then the snapshot.
+    """
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", landing).strip("/")
+    pattern = (rf"(?:^|/){re.escape(root)}/((?:\d{{4}}/(?:\d{{2}}/(?:\d{{2}}/)?)?)?)"
+               rf"(?:file_name=)?{_named_part(prefix)}(?:/[^/]+)?$")
+    folders = F.date_format(day_in(path), DATE_FOLDERS[-1])
+    return path.rlike(pattern) & folders.startswith(F.regexp_extract(path, pattern, 1))
+
+
 # A file inside a snapshot's directory is a part of it, whatever the file is called.
 _BEFORE_NAME = rf"(?:^|(?<!{re.escape(FILE_SUFFIX)})[/=])"
 

@@ -51,15 +51,3 @@ def day_outcomes(
             F.when(status == FAILED, reason).alias("error"),
         )
     )
-
-
-def fail_days(outcomes: DataFrame, bad: DataFrame) -> DataFrame:
-    """Turn the days listed in ``bad`` (``file_name, reason``) into failures."""
-    is_bad = F.col("reason").isNotNull()
-    return outcomes.join(bad, "file_name", "left").select(
-        "snapshot_date",
-        "file_name",
-        F.when(~is_bad, F.col("path")).alias("path"),
-        F.when(is_bad, FAILED).otherwise(F.col("status")).alias("status"),
-        F.coalesce("reason", "error").alias("error"),
-    )

@@ -71,6 +71,12 @@ _ERRORS = f"""
 
 ORACLES: dict[str, str] = {
     "spine": _SPINE,
+    "days_to_date": """
+        SELECT CAST(d AS DATE) AS snapshot_date, n AS orders
+        FROM (SELECT unnest(generate_series(
+                  DATE '2021-04-14'::TIMESTAMP, current_date::TIMESTAMP, INTERVAL 1 DAY)) AS d) AS c
+        JOIN (SELECT day(o_orderdate) AS date, count(*) AS n FROM orders GROUP BY 1) AS o ON day(d) = o.date
+    """,
     "snapshot_names": f"""
         SELECT snapshot_date,
                strftime(snapshot_date, '%Y-%m-%d') AS day_key,
@@ -157,6 +163,17 @@ ORACLES: dict[str, str] = {
         SELECT row_number() OVER (ORDER BY event_id) AS row_no, event_id FROM events
         WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)
     """,
+    "inspect_labels": """
+        SELECT row_no, line, ': ' || line AS label_text, TRUE AS numbered
+        FROM (SELECT row_number() OVER (ORDER BY event_id) AS row_no,
+                     event_id || ',' || user_id || ',' || event_type || ',"' || replace(props, '"', '""') || '"' AS line
+              FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)) AS l
+    """,
+    "inspect_preview": """
+        SELECT event_id, user_id, event_type, props, CAST(ts AS DATE) AS snapshot_date
+        FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)
+        ORDER BY event_id LIMIT 100
+    """,
     "preview": "SELECT * FROM events ORDER BY event_id LIMIT 100",
     "daily_counts": """
         SELECT CAST(ts AS DATE) AS snapshot_date, count(*) AS rows FROM events GROUP BY 1

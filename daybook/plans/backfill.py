@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.constants import EARLIEST_DAY, FAILED, LOADED
+from daybook.constants import EARLIEST_DAY, FAILED, LOADED, SKIPPED
 from daybook.feed import Feed
 from daybook.functions.naming import file_name, file_name_in, with_names
 from daybook.operators.checks import day_content
-from daybook.operators.outcomes import day_outcomes, fail_days, pending_days
-from daybook.session import setting, settle
+from daybook.operators.outcomes import day_outcomes, pending_days
+from daybook.session import settle
 from daybook.sources import ledger as ledgers
 from daybook.sources.calendar import calendar
 from daybook.sources.errorlog import append_errors, error_entries
 from daybook.sources.landing import check_files, landed_days, landing_files
 from daybook.sources.snapshots import infer_schema, read_snapshots
-from daybook.sources.store import clear_days, stored_schema, write_days
+from daybook.sources.store import stored_schema, write_days
 
 #: Landed bytes, compressed, that are loaded and entered in the ledger together.
 GROUP_BYTES = 1 << 40
@@ -66,47 +67,66 @@ def bring_in(
     before, and a broken file costs a second read of its own group only.
     """
     run = run or datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%S.%fZ")
-    loaded = ledgers.loaded_days(ledgers.read_ledger(spark, feed.ledger))
-    # At most one name per calendar day comes to the driver, never rows or files.
+    loaded = settle(ledgers.loaded_days(ledgers.read_ledger(spark, feed.ledger)))
+    # At most one row per calendar day comes to the driver, never rows or files.
     pending = [r.file_name for r in pending_days(names, loaded).select("file_name").collect()]
     landed = landed_days(landing_files(spark, feed.landing, feed.prefix, pending))
-    # A scan gets a task per 128 MB of files. The listing does not read the files,
-    # so a few tasks per core will do, not the hundreds of thousands of a load.
-    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
-        landed = settle(landed)
-        outcomes = settle(day_outcomes(names, loaded, landed.drop("bytes"), feed.base_url))
-
-    day = F.col("snapshot_date")
-    rest = done = outcomes.where(F.col("status") != LOADED)
-    for days in _groups(outcomes, landed, group_bytes):
-        group = settle(outcomes.where(day.isin(days)))
+    sizes = landed.select("file_name", "bytes")
+    planned = day_outcomes(names, loaded, landed.drop("bytes"), feed.base_url).join(sizes, "file_name", "left")
+    days = [Day(**r.asDict()) for r in planned.orderBy("snapshot_date").collect()]
+
+    done = rest = [d for d in days if d.status != LOADED]
+    for group in _groups([d for d in days if d.status == LOADED], group_bytes):
         if verify:
             group = _drop_unsound(spark, feed, group)
-        group = settle(_load(spark, feed, group, strict))
-        _enter(group, feed, run)
-        done = done.union(group)
-    _enter(rest, feed, run)
-    return settle(done).orderBy("snapshot_date")
+        group = _load(spark, feed, group, strict)
+        _enter(spark, group, feed, run)
+        done = done + group
+    _enter(spark, rest, feed, run)
+    return _outcomes(spark, sorted(done, key=lambda d: d.snapshot_date))
+
+
+class Day(NamedTuple):
+    """What happens to a day: a row of ``day_outcomes``, and the landed bytes."""
+
+    snapshot_date: datetime.date
+    file_name: str
+    path: str | None
+    status: str
+    error: str | None
+    bytes: int | None = None
+    no_rows: bool = False
+
+    def failed(self, reason: str) -> Day:
+        return self._replace(path=None, status=FAILED, error=reason)
+
+
+def _outcomes(spark: SparkSession, days: list[Day], no_rows: bool = False) -> DataFrame:
+    rows = [(*d[:5], d.no_rows) for d in days]
+    table = spark.createDataFrame(rows, f"{ledgers.OUTCOME}, no_rows boolean").coalesce(1)
+    return table if no_rows else table.drop("no_rows")
 
 
-def _enter(outcomes: DataFrame, feed: Feed, run: str) -> None:
+def _enter(spark: SparkSession, days: list[Day], feed: Feed, run: str) -> None:
     """Log the failures, then record the outcomes: the ledger comes last."""
-    append_errors(error_entries(outcomes.where(F.col("status") == FAILED)), feed.error_log, run)
-    ledgers.append_outcomes(outcomes, feed.ledger, run)
+    new = [d for d in days if d.status != SKIPPED]
+    failed = [d for d in new if d.status == FAILED]
+    if failed:
+        append_errors(error_entries(_outcomes(spark, failed)), feed.error_log, run)
+    if new:
+        ledgers.append_outcomes(_outcomes(spark, new, no_rows=True), feed.ledger, run)
 
 
-def _groups(outcomes: DataFrame, landed: DataFrame, group_bytes: int) -> list[list[datetime.date]]:
+def _groups(days: list[Day], group_bytes: int) -> list[list[Day]]:
     """The days to load in order, cut where a group has reached its size."""
-    rows = (outcomes.where(F.col("status") == LOADED).join(landed, "file_name")
-            .select("snapshot_date", "bytes").orderBy("snapshot_date").collect())
-    groups: list[list[datetime.date]] = []
+    groups: list[list[Day]] = []
     size = group_bytes
-    for row in rows:
+    for day in days:
         if size >= group_bytes:
             groups.append([])
             size = 0
-        groups[-1].append(row.snapshot_date)
-        size += row.bytes
+        groups[-1].append(day)
+        size += day.bytes or 0
     return groups
 
 
@@ -115,47 +135,71 @@ def load_day(spark: SparkSession, feed: Feed, day: datetime.date, run: str | Non
     return backfill(spark, feed, day, day, run)
 
 
-def _load(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -> DataFrame:
-    """Write the days to load; a day that cannot be loaded becomes a failure."""
+def _load(spark: SparkSession, feed: Feed, days: list[Day], strict: bool) -> list[Day]:
+    """Write the days to load; a day that cannot be loaded becomes a failure, and no other with it.
+
+    If a load cannot read a file, unsound ones are found and left out. Where none
+    is found, halves are loaded on their own until what cannot be read is alone.
+    The check has read all bytes by then, so the content is at fault, not the way
+    to it. Errors of any other kind are raised.
+    """
     try:
-        return _write(spark, feed, outcomes, strict)
-    except Exception:
-        rest = _drop_unsound(spark, feed, outcomes)
-        if rest is outcomes:
+        return _write(spark, feed, days, strict)
+    except Exception as e:
+        fault = reading_fault(e)
+        if fault is None:
             raise
-        return _write(spark, feed, rest, strict)
-
-
-def _drop_unsound(spark: SparkSession, feed: Feed, outcomes: DataFrame) -> DataFrame:
-    bad = settle(unsound_days(spark, feed, list(_paths_to_load(outcomes).values())))
-    return outcomes if bad.isEmpty() else settle(fail_days(outcomes, bad))
-
-
-def _write(spark: SparkSession, feed: Feed, outcomes: DataFrame, strict: bool) -> DataFrame:
-    paths = _paths_to_load(outcomes)
+        rest = _drop_unsound(spark, feed, days)
+        if rest != days:
+            return _load(spark, feed, rest, strict)
+        to_load = [d for d in days if d.status == LOADED]
+        if len(to_load) == 1:
+            return [d.failed(f"unreadable file: {fault}") if d.status == LOADED else d for d in days]
+        half = len(to_load) // 2
+        others = [d for d in days if d.status != LOADED]
+        return others + _load(spark, feed, to_load[:half], strict) + _load(spark, feed, to_load[half:], strict)
+
+
+def reading_fault(error: Exception) -> str | None:
+    """Why a file could not be read, if that is what a job died of."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    found = text = None
+    while cause is not None:
+        if cause.getClass().getName() == "org.apache.spark.SparkException":
+            found = found or (cause.getCondition() or "").startswith("FAILED_READ_FILE")
+        first = (cause.getMessage() or "").strip().split("\n")[0]
+        text = f"{cause.getClass().getName()}: {first}" if first else cause.getClass().getName()
+        cause = cause.getCause()
+    return text if found else None
+
+
+def _drop_unsound(spark: SparkSession, feed: Feed, days: list[Day]) -> list[Day]:
+    return _fail(days, unsound_days(spark, feed, [d.path for d in days if d.status == LOADED]))
+
+
+def _fail(days: list[Day], bad: DataFrame) -> list[Day]:
+    """The days with those of ``bad`` (file_name, reason) failed."""
+    reasons = {r.file_name: r.reason for r in bad.collect()}
+    return [d.failed(reasons[d.file_name]) if d.status == LOADED and d.file_name in reasons else d for d in days]
+
+
+def _write(spark: SparkSession, feed: Feed, days: list[Day], strict: bool) -> list[Day]:
+    paths = [d.path for d in days if d.status == LOADED]
     if not paths:
-        return outcomes
-    schema = snapshot_schema(spark, feed, list(paths.values()))
+        return days
+    schema = snapshot_schema(spark, feed, paths)
     if strict:
-        bad = settle(flagged_days(spark, feed, schema, list(paths.values())))
-        outcomes = settle(fail_days(outcomes, bad))
-        paths = _paths_to_load(outcomes)
+        days = _fail(days, flagged_days(spark, feed, schema, paths))
+        paths = [d.path for d in days if d.status == LOADED]
         if not paths:
-            return outcomes
-    rows = read_feed(spark, feed, schema, list(paths.values()))
-    written = write_days(rows.drop("flagged"), feed.store)
-    clear_days(spark, feed.store, [day for day in paths if day not in written])
-    # A day without rows is present if its file has a header, and failed if it is empty.
-    without = [path for day, path in paths.items() if day not in written]
-    if not without:
-        return outcomes
-    return settle(fail_days(outcomes, unsound_days(spark, feed, without)))
-
-
-def _paths_to_load(outcomes: DataFrame) -> dict[datetime.date, str]:
-    """The path of each day to load: at most one per calendar day."""
-    rows = outcomes.where(F.col("status") == LOADED).select("snapshot_date", "path").collect()
-    return {r.snapshot_date: r.path for r in rows}
+            return days
+    written = write_days(
+        lambda session: read_feed(session, feed, schema, paths).drop("flagged"), spark, feed.store)
+    # A day without rows is present if its file has a header, and failed if it is empty. What an
+    # earlier run may have left of it is kept out by the ledger's entry.
+    days = [d._replace(no_rows=d.status == LOADED and d.snapshot_date not in written) for d in days]
+    without = [d.path for d in days if d.no_rows]
+    return _fail(days, unsound_days(spark, feed, without)) if without else days
 
 
 def snapshot_schema(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> T.StructType:

@@ -12,8 +12,9 @@ from daybook.constants import FILE_SUFFIX, PREVIEW_ROWS
 from daybook.feed import Feed
 from daybook.functions.naming import part_number
 from daybook.functions.text import line_label
-from daybook.operators.preview import first_snapshot_rows
+from daybook.operators.preview import first_of_part
 from daybook.plans.backfill import read_feed, snapshot_schema
+from daybook.session import settle
 from daybook.sources.landing import landing_files
 from daybook.sources.lines import lines_across_parts, lines_of_file
 
@@ -59,12 +60,19 @@ def _parts(spark: SparkSession, feed: Feed, day: datetime.date) -> DataFrame:
 
 
 def _preview(spark: SparkSession, feed: Feed, parts: DataFrame, n: int) -> DataFrame:
-    """Read the first part, and more of them only while the rows do not suffice."""
-    take = 1
-    while True:
-        paths = [r.file_path for r in parts.limit(take).collect()]
-        schema = snapshot_schema(spark, feed, paths)
-        rows = first_snapshot_rows(read_feed(spark, feed, schema, paths, positions=True), n)
-        if len(paths) < take or rows.count() >= n:
-            return rows
-        take *= 8
+    """Rows of the parts in order, each read once and only as far as rows are missing.
+
+    A part is a gzip file and so one partition in file order, whose reading stops
+    at the limit. Types are the feed's or the store's, else those that all of the
+    day's cells allow, as the load has them.
+    """
+    paths = [r.file_path for r in parts.collect()]
+    schema = snapshot_schema(spark, feed, paths)
+    found, missing = None, n
+    for path in paths:
+        rows = settle(first_of_part(read_feed(spark, feed, schema, [path]), missing))
+        found = rows if found is None else found.union(rows)
+        missing -= rows.count()
+        if missing <= 0:
+            break
+    return found

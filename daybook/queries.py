@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.constants import FAILED
+from daybook.constants import EARLIEST_DAY, FAILED
 from daybook.feed import Feed
 from daybook.functions.naming import (
     address,
@@ -50,6 +51,8 @@ EVENTS = (
     .add("props", "string")
 )
 
+PLAIN = ("event_id", "user_id", "event_type", "props")
+
 # Days after the first that have not landed when the two-run story begins; one arrives in between.
 LATE, MISSING = datetime.timedelta(days=16), datetime.timedelta(days=3)
 
@@ -163,6 +166,20 @@ def _text_landing(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def _plain_landing(spark: SparkSession, sf_dir: str) -> str:
+    """Daily snapshots of the events' columns that any writer puts down alike."""
+    folder = scratch(spark, "plain")
+    (
+        _in_order(_events(spark, sf_dir), "event_id")
+        .withColumn("file_name", file_name(F.col("snapshot_date"), PREFIX))
+        .select(*PLAIN, "file_name")
+        .write.partitionBy("file_name")
+        .options(header=True, escape='"', compression="gzip")
+        .csv(folder)
+    )
+    return folder
+
+
 def _bare_commas(spark: SparkSession, sf_dir: str) -> str:
     """Documents written without quoting: commas inside a text break its row."""
     folder = scratch(spark, "bare")
@@ -187,6 +204,14 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.spanned_days(_order_days(spark, sf_dir))
 
 
+def days_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar up to the day of the run, with the number of orders placed on that date of the month."""
+    orders = _table(spark, sf_dir, "orders").groupBy(
+        F.dayofmonth("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
+    days = calendar.calendar(spark, EARLIEST_DAY, None)
+    return days.join(orders, F.dayofmonth("snapshot_date") == F.col("date")).select("snapshot_date", "orders")
+
+
 def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("file_name")
     return with_names(spine(spark, sf_dir), "orders").select(
@@ -357,15 +382,40 @@ def snapshot_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview_snapshot(spark, feed, _range(spark, sf_dir)[0])
 
 
+def _without_headers(numbered: DataFrame, header: Column) -> DataFrame:
+    """Lines and ``row_no``, their number when the header lines of the parts before are not counted."""
+    numbered = settle(numbered)
+    # One for each part file of a day.
+    headers = [r.line_no for r in numbered.where(header).select("line_no").collect()]
+    above = F.size(F.filter(F.array(*map(F.lit, headers)), lambda h: h < F.col("line_no")))
+    return numbered.where(~header).withColumn("row_no", (F.col("line_no") - above).cast("bigint"))
+
+
 def inspect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the first landed day in their order, without the header line of each part."""
     feed = _feed(spark, "inspect", _once(spark, sf_dir, _landing))
     numbered = inspect_snapshot(spark, feed, _range(spark, sf_dir)[0]).lines
-    rows = numbered.where(~F.col("line").startswith(f"{EVENTS.names[0]},"))
-    # One day's lines, numbered for the comparison only.
-    order = Window.partitionBy(F.lit(1)).orderBy("line_no")
+    rows = _without_headers(numbered, F.col("line").startswith(f"{EVENTS.names[0]},"))
     event = F.substring_index("line", ",", 1).cast("bigint").alias("event_id")
-    return rows.select(F.row_number().over(order).cast("bigint").alias("row_no"), event)
+    return rows.select("row_no", event)
+
+
+def inspect_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a landed day with their whole text, and their labels for the number without headers."""
+    feed = replace(_feed(spark, "labels", _once(spark, sf_dir, _plain_landing)), schema=None)
+    numbered = inspect_snapshot(spark, feed, _range(spark, sf_dir)[0]).lines
+    rows = _without_headers(numbered, F.col("line") == ",".join(PLAIN))
+    # "Line <line_no>: <line>", the number being as long as it is written.
+    behind = F.substr("label", F.length(F.lit("Line ")) + F.length(F.col("line_no").cast("string")) + 1)
+    numbers = F.substr("label", F.lit(1), F.length("label") - F.length(behind)) == F.concat(
+        F.lit("Line "), F.col("line_no").cast("string"))
+    return rows.select("row_no", "line", behind.alias("label_text"), numbers.alias("numbered"))
+
+
+def inspect_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows of the same day, with the types that its cells show."""
+    feed = replace(_feed(spark, "inspect", _once(spark, sf_dir, _plain_landing)), schema=None)
+    return inspect_snapshot(spark, feed, _range(spark, sf_dir)[0]).preview
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,6 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         spine,
+        days_to_date,
         snapshot_names,
         pending_days,
         present_days,
@@ -438,6 +489,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_lines,
         snapshot_preview,
         inspect_lines,
+        inspect_labels,
+        inspect_preview,
         preview,
         daily_counts,
         sample_check,

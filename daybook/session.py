@@ -68,6 +68,15 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """Another session of the application with the same settings but for some; ``spark`` stays as it is."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 # Rows of a path and a count, some 200 bytes each: 200 MB at most. 100 TB in
 # parts of 128 MB are some 800,000 of them.
 SMALL_ROWS = 1_000_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from functools import partial
 
@@ -9,26 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.constants import FILE_SUFFIX
-from daybook.functions.intask import check_batches, count_lines
-from daybook.functions.naming import day_in, day_path, file_name_in
-from daybook.session import read_or_empty, settle
+from daybook.functions.intask import check_raw
+from daybook.functions.naming import day_in, day_path, file_name_in, lies_well
+from daybook.session import read_or_empty
 
 FILE_SCHEMA = "file_name string, snapshot_date date, path string, file_path string, length bigint"
-CHECK_SCHEMA = (
-    "file_path string, error string, header array<string>, lines bigint, bytes bigint"
-)
+CHECK_SCHEMA = "uri string, error string, header array<string>, lines bigint, bytes bigint"
 
-COUNT_SCHEMA = "uri string, header array<string>, lines bigint, bytes bigint"
+# Files as they are, in pieces: Hadoop's codec that takes a suffix as not compressed. Its
+# setting has another name in builds that Spark bundles.
+AS_THEY_ARE = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz",
+}
 
-# A file up to this size is checked from its bytes inside one task, which names every
-# broken one in one pass. Larger ones do not fit there and stream through the text reader.
-IN_TASK_BYTES = 256 << 20
-
-# What decompression throws at a file that is cut off, corrupt or no gzip file.
-CONTENT_ERRORS = (
-    "java.io.EOFException", "java.io.IOException",
-    "java.util.zip.DataFormatException", "java.util.zip.ZipException",
-)
+# Tasks that list files; they do not read them, so the size of the files is no measure.
+LISTING_TASKS = 64
 
 
 def landing_files(
@@ -36,14 +34,15 @@ def landing_files(
 ) -> DataFrame:
     """One row per file of a snapshot; the bytes are not read.
 
-    With ``names`` the folder itself is listed once and only the directories of
-    those snapshots are looked into, so years of older days cost next to nothing.
+    A snapshot lies in the folder itself or below it by year, month or day, see
+    ``lies_well``. With ``names`` the folder is listed once, and of those below
+    it the ones of the named days, so years of older days cost next to nothing.
     """
     if names is not None and not names:
         return spark.createDataFrame([], FILE_SCHEMA)
     path = folder.rstrip("/")
     if names is not None:
-        path = f"{path}/{{,file_name=}}{{{','.join(names)}}}"
+        path = f"{path}/{{{','.join(_date_folders(names))}}}{{,file_name=}}{{{','.join(names)}}}"
 
     def load() -> DataFrame:
         found = (
@@ -54,7 +53,8 @@ def landing_files(
         )
         # A filter on file metadata drops other files before tasks are planned.
         name = file_name_in(F.col("_metadata.file_path"), prefix)
-        return found.where(name.isNotNull()).select(
+        here = found.where(name.isNotNull()).where(lies_well(F.col("path"), folder, prefix))
+        return here.coalesce(LISTING_TASKS).select(
             name.alias("file_name"),
             day_in(name).alias("snapshot_date"),
             day_path(F.col("path"), prefix).alias("path"),
@@ -65,6 +65,12 @@ def landing_files(
     return read_or_empty(spark, FILE_SCHEMA, load)
 
 
+def _date_folders(names: Sequence[str]) -> list[str]:
+    days = {datetime.date.fromisoformat(name.removesuffix(FILE_SUFFIX)[-10:]) for name in names}
+    folders = {"", *(f"{d:%Y}/" for d in days), *(f"{d:%Y/%m}/" for d in days), *(f"{d:%Y/%m/%d}/" for d in days)}
+    return sorted(folders)
+
+
 def landed_days(files: DataFrame) -> DataFrame:
     """One row per snapshot: where it lies, and in how many places.
 
@@ -83,72 +89,20 @@ def check_files(
 ) -> DataFrame:
     """Decompress every file to its end; one row per file, ``error`` null if sound.
 
-    ``lines`` are what line feeds separate, and ``bytes`` those of the lines.
-    Only what is wrong with a file itself becomes its error; anything else is
-    raised. The columns do not depend on how large a file is.
+    ``lines`` are what line feeds separate, and ``bytes`` those of the lines. A
+    file is sound if it consists of whole gzip members and nothing else, as the
+    load has it. Its bytes stream through one task, whatever its size; if they
+    cannot be had, that is no verdict on the file and is raised.
     """
     options = {"pathGlobFilter": f"*{FILE_SUFFIX}", "recursiveFileLookup": True}
-    files = spark.read.format("binaryFile").options(**options).load(list(paths))
-    checked = (
-        files.where(F.col("length") <= IN_TASK_BYTES)
-        .select("path", "content")
-        .mapInArrow(partial(check_batches, comment=comment), CHECK_SCHEMA)
-    )
-    large = files.where(F.col("length") > IN_TASK_BYTES).select(
-        F.col("path").alias("file_path"), F.col("_metadata.file_path").alias("uri")
-    )
-    if large.isEmpty():
-        return checked
-    text = (
-        spark.read.options(**options, lineSep="\n").text(list(paths))
-        .where(F.col("_metadata.file_size") > IN_TASK_BYTES)
-    )
-    counts, broken = _read_through(text, comment)
-    faults = spark.createDataFrame(list(broken.items()), "uri string, error string")
-    sound = F.col("error").isNull()
-    through = (
-        large.join(faults, "uri", "left").join(counts, "uri", "left")
-        .select("file_path", "error", "header", *(
-            F.when(sound, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("lines", "bytes")))
+    files = spark.read.format("binaryFile").options(**options).load(list(paths)).coalesce(LISTING_TASKS)
+    pieces = spark.read.options(**options, **AS_THEY_ARE, lineSep="\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("value"))
+    checked = pieces.mapInArrow(partial(check_raw, comment=comment), CHECK_SCHEMA)
+    # Files without a byte have no pieces.
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "bytes"))
+    return (
+        files.select(F.col("path").alias("file_path"), F.col("_metadata.file_path").alias("uri"))
+        .join(checked, "uri", "left").select("file_path", "error", "header", *counts)
     )
-    return checked.unionByName(through)
-
-
-def _read_through(text: DataFrame, comment: str | None) -> tuple[DataFrame, dict[str, str]]:
-    """Counts of the files that can be read, and what is wrong with the others.
-
-    The lines stream through the tasks, so memory does not grow with a file. A
-    file that cannot be read ends the job, which runs again without it.
-    """
-    uri = F.col("_metadata.file_path")
-    broken: dict[str, str] = {}
-    while True:
-        rest = text.where(~uri.isin(list(broken))) if broken else text
-        counts = (
-            rest.select(uri.alias("uri"), F.col("value").cast("binary").alias("value"))
-            .mapInArrow(partial(count_lines, comment=comment), COUNT_SCHEMA)
-            .groupBy("uri")
-            .agg(F.max("header").alias("header"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
-        )
-        try:
-            return settle(counts), broken
-        except Exception as e:
-            found = _broken_file(e)
-            if found is None or found[0] in broken:
-                raise
-            broken[found[0]] = f"unreadable file: {found[1]}"
-
-
-def _broken_file(error: Exception) -> tuple[str, str] | None:
-    """Which file a job died of and why, if its content is at fault and nothing else."""
-    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
-    path = kind = text = None
-    while cause is not None:
-        kind, text = cause.getClass().getName(), cause.getMessage()
-        if kind == "org.apache.spark.SparkException" and (cause.getCondition() or "").startswith("FAILED_READ_FILE"):
-            path = cause.getMessageParameters().get("path")
-        cause = cause.getCause()
-    if path is None or kind not in CONTENT_ERRORS:
-        return None
-    # As the file's metadata writes it.
-    return path.replace(":///", ":/", 1), text or kind

@@ -3,65 +3,54 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.session import read_or_empty, setting
+from daybook.session import read_or_empty, session_like
 
 DAY = T.StructField("snapshot_date", T.DateType())
 
 
-def write_days(rows: DataFrame, path: str) -> set[datetime.date]:
-    """Write whole days and tell which; days not in ``rows`` are left alone.
+def write_days(
+    rows: Callable[[SparkSession], DataFrame], spark: SparkSession, path: str
+) -> set[datetime.date]:
+    """Write whole days and tell which; days without rows are left alone.
 
     Replacing a day's partition makes a retry after a crash harmless. Rows of a
     file already belong to one day, so they are written where they were read:
-    a shuffle by day would only gather a large day into one task.
+    a shuffle by day would only gather a large day into one task. ``rows`` is
+    made in a session of the write's own, as its setting is the session's.
     """
     seen = Observation()
     # A task reads files of a few days. With an open file for each of them its
     # rows need not be sorted by day first; beyond the limit Spark sorts the rest.
-    with setting(rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "100"):
-        (
-            rows.observe(seen, F.collect_set("snapshot_date").alias("days"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("snapshot_date")
-            .parquet(path)
-        )
+    own = session_like(spark, {"spark.sql.maxConcurrentOutputFileWriters": "100"})
+    (
+        rows(own).observe(seen, F.collect_set("snapshot_date").alias("days"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("snapshot_date")
+        .parquet(path)
+    )
     return set(seen.get["days"])
 
 
-def clear_days(spark: SparkSession, path: str, days: Iterable[datetime.date]) -> None:
-    """Remove what an earlier run left of days that have no rows now.
-
-    Overwriting partitions leaves those alone that nothing is written to.
-    """
-    context = spark.sparkContext
-    for day in days:
-        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_date={day.isoformat()}")
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def read_store(
-    spark: SparkSession, path: str, schema: T.StructType, loaded: DataFrame | None = None
+    spark: SparkSession, path: str, schema: T.StructType, loaded: DataFrame
 ) -> DataFrame:
-    """The store's days; a filter on ``snapshot_date`` prunes partitions.
+    """The store's days that are ``loaded`` (the ledger's); a filter on ``snapshot_date`` prunes partitions.
 
-    ``loaded`` (the ledger's loaded days) keeps out what a run that died before
-    its ledger entry left behind. It has a row per day, so it prunes partitions
-    when the query runs.
+    The ledger keeps out what a run that died before its entry left behind, and
+    what is left of a day that was loaded again and has no rows now. It has a
+    row per day, so it prunes partitions when the query runs.
     """
     full = T.StructType([*schema.fields, DAY])
     rows = read_or_empty(spark, full, lambda: spark.read.schema(full).parquet(path))
-    if loaded is None:
-        return rows
-    return rows.join(loaded.select("snapshot_date").distinct(), "snapshot_date", "left_semi").select(
-        *full.names
-    )
+    days = loaded.where("NOT coalesce(no_rows, false)").select("snapshot_date").distinct()
+    return rows.join(days, "snapshot_date", "left_semi").select(*(f"`{n}`" for n in full.names))
 
 
 def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from daybook.constants import FILE_SUFFIX
 from daybook.feed import Feed
-from daybook.functions.naming import day_in, file_name_in
+from daybook.functions.naming import day_in, file_name_in, lies_well
 from daybook.plans.backfill import bring_in
 
 
@@ -25,7 +25,7 @@ def landing_stream(spark: SparkSession, feed: Feed, files_per_batch: int) -> Dat
         .load(feed.landing)
     )
     name = file_name_in(F.col("path"), feed.prefix)
-    return files.where(name.isNotNull()).select(
+    return files.where(name.isNotNull()).where(lies_well(F.col("path"), feed.landing, feed.prefix)).select(
         day_in(name).alias("snapshot_date"), name.alias("file_name")
     )
 

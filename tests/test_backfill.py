@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import daybook.functions.intask as intask
 import daybook.plans.backfill as backfill_module
 from daybook import Feed, backfill, inspect_snapshot, load_day
 from daybook.operators.checks import compare_days, daily_counts
+from daybook.plans import inspection
 from daybook.plans.backfill import read_feed, unsound_days
 from daybook.sources import landing
 from daybook.sources.errorlog import read_errors
@@ -54,8 +56,12 @@ class Site:
         assert [r.snapshot_date for r in rows] == [day(n) for n in range(1, 7)]
         return {r.snapshot_date.day: r for r in rows}
 
+    def stored(self):
+        known = loaded_days(read_ledger(self.spark, self.feed.ledger))
+        return read_store(self.spark, self.feed.store, SCHEMA, known)
+
     def store(self):
-        rows = read_store(self.spark, self.feed.store, SCHEMA).collect()
+        rows = self.stored().collect()
         return sorted(((r.snapshot_date.day, r.id, r.score, r.n) for r in rows), key=str)
 
     def errors(self):
@@ -129,47 +135,154 @@ def test_bad_files_fail_alone(site):
     assert site.store() == rows_of(*range(1, 7))
 
 
-def test_large_files_are_checked_too(site, monkeypatch):
-    monkeypatch.setattr(landing, "IN_TASK_BYTES", 10)
-    for n in range(1, 7):
-        site.land(n)
-    site.land(2, raw=gzip.compress(b"id,score,n\n" + os.urandom(5000).hex().encode())[:900])
-    site.land(5, raw=b"not gzip at all")
-    found = site.run("r1")
-    assert statuses(found) == "LFLLFL"
-    assert site.store() == rows_of(1, 3, 4, 6)
-
-
-def test_checks_do_not_depend_on_size(site, monkeypatch):
+def test_checks_name_what_is_wrong_at_any_size(site, monkeypatch):
+    """Whole, joined, padded, cut and foreign files, in pieces of a few bytes and of many."""
     noise = os.urandom(5000).hex()
-    texts = ["id,score,n\na,1,1\n", "#c\n\n\ufeffid,n\na\r\n\nno end", "\ufeffid\né\n", "\n", "", '"a,b",c\n']
+    texts = ["id,score,n\na,1,1\n", "#c\n\n\ufeffid,n\na\r\n\nno end", "\ufeffid\né\n", "\n", "", '"a,b",c\n', noise]
     for n, text in enumerate(texts):
         site.land(1, part=f"a b{n}.csv.gz", text=text)
-    site.land(2, raw=gzip.compress(noise.encode())[:900])
-    site.land(3, raw=b"not gzip at all")
+    member = gzip.compress(b"id\n1\n2\n")
+    site.land(2, part="joined.csv.gz", raw=member + gzip.compress(b"3\n") + gzip.compress(b""))
+    site.land(2, part="no bytes.csv.gz", raw=b"")  # not listed
+    broken = {"padded": member + b"\0" * 700, "tail": member + b"\n\n", "text": b"not gzip at all",
+              "cut": gzip.compress(noise.encode())[:900], "header only": member[:10], "one more": member + b"\x1f",
+              "checksum": member[:-8] + b"\0" * 8}
+    for name, raw in broken.items():
+        site.land(3, part=f"{name}.csv.gz", raw=raw)
 
     def checked():
         rows = landing.check_files(site.spark, [site.feed.landing], "#").collect()
-        return {r.file_path: (bool(r.error), r.header, r.lines, r.bytes) for r in rows}
-
-    small = checked()
-    monkeypatch.setattr(landing, "IN_TASK_BYTES", 10)
-    assert checked() == small and len(small) == len(texts) + 2
-    assert all(None not in found[2:] for found in small.values())
-    assert sorted((r[2], r[3]) for r in small.values()) == sorted(
-        [(2, 15), (6, 17), (2, 4), (1, 0), (0, 0), (1, 7), (0, 0), (0, 0)])
+        return {os.path.basename(r.file_path): (r.error, r.header, r.lines, r.bytes) for r in rows}
+
+    whole = checked()
+    monkeypatch.setattr(intask, "PIECE", 3)
+    site.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert checked() == whole
+    finally:
+        site.spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sound = {k: v[1:] for k, v in whole.items() if v[0] is None}
+    assert sound == {
+        "a b0.csv.gz": (["id", "score", "n"], 2, 15), "a b1.csv.gz": (["id", "n"], 6, 17), "a b2.csv.gz": (["id"], 2, 4),
+        "a b3.csv.gz": (None, 1, 0), "a b4.csv.gz": (None, 0, 0), "a b5.csv.gz": (["a,b", "c"], 1, 7),
+        "a b6.csv.gz": ([noise], 1, 10000), "joined.csv.gz": (["id"], 4, 5)}
+    errors = {k.removesuffix(".csv.gz"): v for k, v in whole.items() if v[0] is not None}
+    assert errors.keys() == broken.keys()
+    assert all(v[0].startswith("unreadable file: ") and v[1:] == (None, 0, 0) for v in errors.values())
+
+
+def test_what_the_check_finds_unsound_the_load_cannot_read(site):
+    """Hadoop's reader and the check agree about what a gzip file is."""
+    member = gzip.compress(b"id,score,n\nx,0.5,1\n" * 2000)
+    files = [member, member * 3, member + b"\0" * 512, member + b"\n", member[:-9], b"id,score,n\n", member + gzip.compress(b"")]
+    for n, raw in enumerate(files):
+        path = f"{site.root}/one{n}/scores-{day(1)}.csv.gz"
+        os.makedirs(os.path.dirname(path))
+        with open(path, "wb") as f:
+            f.write(raw)
+        error = landing.check_files(site.spark, [path]).first().error
+        try:
+            site.spark.read.text(path).count()
+            assert error is None, n
+        except Exception as e:
+            assert error is not None and backfill_module.reading_fault(e), n
 
 
 def test_errors_outside_the_files_are_no_verdict_on_them(site, monkeypatch):
     site.land(1)
-    monkeypatch.setattr(landing, "IN_TASK_BYTES", 10)
 
     def lost(*_, **__):
         raise RuntimeError("lost executor")
 
-    monkeypatch.setattr(landing, "count_lines", lost)
+    monkeypatch.setattr(landing, "check_raw", lost)
     with pytest.raises(Exception, match="lost executor"):
-        landing.check_files(site.spark, [site.feed.landing])
+        landing.check_files(site.spark, [site.feed.landing]).collect()
+
+
+@pytest.mark.parametrize("verify", [False, True])
+def test_a_padded_file_fails_alone(site, verify):
+    """Zeros behind the data, as tapes and block devices leave them: the reader of the load refuses them."""
+    site.land(1)
+    site.land(2, raw=gzip.compress(b"id,score,n\nx,0.5,1\n") + b"\0" * 512)
+    site.land(3, raw=gzip.compress(b"id,score,n\n" + os.urandom(3000).hex().encode())[:900])
+    site.land(4)
+    found = site.run("r1", verify=verify)
+    assert statuses(found) == "LFFLFF"
+    assert all(found[n].error.startswith("unreadable file: ") for n in (2, 3))
+    assert site.store() == rows_of(1, 4)
+
+
+@pytest.mark.parametrize("verify", [False, True])
+def test_days_only_the_load_cannot_read_fail_alone(site, verify):
+    """Sound files, but no reader of the load's kind takes a row of so many cells."""
+    for n in range(1, 7):
+        site.land(n)
+    for n in (2, 5):
+        site.land(n, "id,score,n\n" + "," * 30_000 + "\n")
+    found = site.run("r1", verify=verify)
+    assert statuses(found) == "LFLLFL"
+    assert all(found[n].error.startswith("unreadable file: ") and "Exception" in found[n].error for n in (2, 5))
+    assert site.store() == rows_of(1, 3, 4, 6)
+    site.land(2)
+    assert statuses(site.run("r2")) == "SLSSFS"
+
+
+def test_a_load_that_fails_for_other_reasons_is_not_halved(site, monkeypatch):
+    for n in (1, 2, 3):
+        site.land(n)
+    calls = []
+
+    def lost(*_):
+        calls.append(1)
+        raise RuntimeError("ExecutorLostFailure")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(backfill_module, "write_days", lost)
+        with pytest.raises(RuntimeError, match="ExecutorLost"):
+            site.run("r1")
+    assert calls == [1] and read_ledger(site.spark, site.feed.ledger).isEmpty()
+
+
+@pytest.mark.parametrize("folder", ["2024", "2024/01", "2024/01/02", "file_name="])
+def test_days_below_their_date(site, folder, tmp_path):
+    """Listing, check, backfill and stream see the same days."""
+    name = f"scores-{day(2)}.csv.gz"
+    path = f"{site.feed.landing}/{folder}{'' if folder[-1] == '=' else '/'}{name}"
+    os.makedirs(path)
+    with open(f"{path}/part-0.csv.gz", "wb") as f:
+        f.write(gzip.compress(b"id,score,n\na2,0.2,2\nb2,1.5,\n"))
+    site.land(1)
+    listed = landing.landing_files(site.spark, site.feed.landing, "scores").collect()
+    assert {r.snapshot_date for r in listed} == {day(1), day(2)}
+    assert statuses(site.run("r1")) == "LLFFFF"
+    assert site.store() == rows_of(1, 2)
+    site.feed = replace(site.feed, store=f"{site.root}/s2", ledger=f"{site.root}/l2")
+    catch_up(site.spark, site.feed, str(tmp_path / "progress")).awaitTermination()
+    assert site.store() == rows_of(1, 2)
+
+
+@pytest.mark.parametrize("folder", ["old", "2023/01", "2024/02", "01", "2024/01/03", "a/2024"])
+def test_days_in_other_folders_have_not_landed(site, folder, tmp_path):
+    os.makedirs(f"{site.feed.landing}/{folder}")
+    with open(f"{site.feed.landing}/{folder}/scores-{day(2)}.csv.gz", "wb") as f:
+        f.write(gzip.compress(b"id,score,n\na2,0.2,2\n"))
+    assert landing.landing_files(site.spark, site.feed.landing, "scores").isEmpty()
+    assert statuses(site.run("r1")) == "FFFFFF"
+    catch_up(site.spark, site.feed, str(tmp_path / "progress")).awaitTermination()
+    assert read_ledger(site.spark, site.feed.ledger).where("status <> 'FAILED'").isEmpty()
+
+
+def test_a_run_leaves_the_session_as_it_was(site):
+    site.land(1)
+    seen = []
+    listed = site.spark.conf.getAll
+    write = backfill_module.write_days
+    try:
+        backfill_module.write_days = lambda *a: (seen.append(site.spark.conf.getAll), write(*a))[1]
+        site.run("r1")
+    finally:
+        backfill_module.write_days = write
+    assert seen == [listed] and site.spark.conf.getAll == listed
 
 
 def test_every_day_unreadable(site):
@@ -321,7 +434,7 @@ def test_ragged_rows_are_kept_and_flagged(site):
         ("long", 2.0, 2), ("ok", 1.0, 1), ("short", 3.0, None), ("word", None, 4),
     ]
     rows = read_feed(site.spark, site.feed, SCHEMA, [site.feed.landing])
-    store = read_store(site.spark, site.feed.store, SCHEMA)
+    store = site.stored()
     found = {r.snapshot_date.day: r for r in compare_days(rows, store, SCHEMA.names).collect()}
     assert (found[1].landing_rows, found[1].flagged_rows, found[1].same_content) == (4, 3, True)
     assert (found[2].landing_rows, found[2].flagged_rows, found[2].same_content) == (2, 0, True)
@@ -345,7 +458,7 @@ def test_compare_days_sees_any_difference(site):
     site.land(2, text="id,score,n\na2,0.2,2\n")            # a row
     site.land(5)                                           # a day
     rows = read_feed(site.spark, site.feed, SCHEMA, [site.feed.landing])
-    store = read_store(site.spark, site.feed.store, SCHEMA)
+    store = site.stored()
     found = compare_days(rows, store, SCHEMA.names).collect()
     assert {r.snapshot_date.day: r.same_content for r in found} == {
         1: False, 2: False, 3: True, 4: True, 5: False,
@@ -398,7 +511,7 @@ def test_store_prunes_partitions(site):
     for n in range(1, 7):
         site.land(n)
     site.run("r1")
-    one = read_store(site.spark, site.feed.store, SCHEMA).where(F.col("snapshot_date") == day(3))
+    one = site.stored().where(F.col("snapshot_date") == day(3))
     assert len(one.inputFiles()) >= 1
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan
@@ -476,6 +589,38 @@ def test_preview_reads_on_until_it_has_enough(site):
     assert preview.count() == 12
 
 
+def test_preview_is_a_limit_and_reads_each_part_once(site, monkeypatch):
+    """No sort, no second pass, and no further part than the rows need."""
+    for part in range(5):
+        rows = "".join(f"{part}-{i},1,1\n" for i in range(3))
+        site.land(1, part=f"part-{part:05d}-u.csv.gz", text="id,score,n\n" + rows)
+    read, plans = [], []
+    once, settle = inspection.read_feed, inspection.settle
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(inspection, "read_feed", lambda *a: (read.append(a[3]), once(*a))[1])
+    monkeypatch.setattr(inspection, "settle", settled)
+    preview = inspection.preview_snapshot(site.spark, site.feed, day(1), n=7)
+    assert [r.id for r in preview.collect()] == ["0-0", "0-1", "0-2", "1-0", "1-1", "1-2", "2-0"]
+    assert [len(p) for p in read] == [1, 1, 1] and len({p[0] for p in read}) == 3
+    assert all("Limit" in p and "Sort" not in p and "TakeOrdered" not in p for p in plans)
+
+
+def test_preview_has_the_types_of_the_load(site):
+    """Also where the first part alone would show others."""
+    site.feed = replace(site.feed, schema=None)
+    site.land(1, part="part-00000-u.csv.gz", text="id,v\na,1\nb,2\n")
+    site.land(1, part="part-00001-u.csv.gz", text="id,v\nc,x\n")
+    _, preview = inspect_snapshot(site.spark, site.feed, day(1), n=1)
+    before = preview.dtypes
+    assert site.run("r1")[1].status == "LOADED"
+    assert before == site.spark.read.parquet(site.feed.store).dtypes == [
+        ("id", "string"), ("v", "string"), ("snapshot_date", "date")]
+
+
 def test_inspect_an_absent_day(site):
     with pytest.raises(FileNotFoundError):
         inspect_snapshot(site.spark, site.feed, day(1))

@@ -36,7 +36,7 @@ def test_hot_day_is_many_parts_and_arrives_whole(spark, skewed):
     feed, events = skewed
     result = backfill(spark, feed, *queries._range(spark, SF_DIR), run="r").collect()
     assert {r.status for r in result} == {"LOADED"}
-    rows = store.read_store(spark, feed.store, queries.EVENTS)
+    rows = queries._stored(spark, feed)
     parts = landing.landing_files(spark, feed.landing, feed.prefix)
     assert parts.where(F.col("snapshot_date") == HOT).count() > 2
     names = queries.EVENTS.names
