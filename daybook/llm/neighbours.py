@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.shipping import ship
-from daybook.session import settle
+from daybook.session import broadcast_if_small, settle
 
 #: Neighbours kept of a vector, and of those it is a neighbour of (a bounded choice by hash).
 DEGREE = 24
@@ -131,15 +131,27 @@ def _merge(lists: DataFrame, degree: int) -> DataFrame:
     return lists.groupBy("u").agg(F.flatten(F.collect_list("near")).alias("near")).mapInArrow(best, _NEAR)
 
 
+def _blocks(points: DataFrame) -> DataFrame:
+    """node, vec, dim, t, code, part: each point once in every table, in blocks of up to some ``2 * BLOCK``.
+
+    Blocks are numbered before any vector moves, and dealt by their number too:
+    a cell with many vectors, and that with all of them, is many tasks.
+    """
+    cells = points.select("node", "dim", F.posexplode("codes").alias("t", "code"))
+    one_cell = F.col("t") >= TABLES + COARSE
+    part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / (2 * BLOCK))).alias("part")
+    lengths = broadcast_if_small(points.groupBy("dim").agg(F.count("*").alias("n")))
+    sizes = settle(cells.where(~one_cell).groupBy("dim", "t", "code").agg(F.count("*").alias("n")))
+    numbered = (cells.where(~one_cell).join(sizes, ["dim", "t", "code"]).select("node", "t", "code", part)
+                .union(cells.where(one_cell).join(lengths, "dim").select("node", "t", "code", part)))
+    placed = numbered.join(points.select("node", "dim", "vec"), "node")
+    return placed.repartition("dim", "t", "code", "part")
+
+
 def _first_graph(points: DataFrame, degree: int, kind: str) -> DataFrame:
     """Neighbours within blocks of vectors that share a code."""
-    placed = points.select("node", "dim", "vec", F.posexplode("codes").alias("t", "code"))
-    sizes = placed.groupBy("dim", "t", "code").agg(F.count("*").alias("n"))
-    blocks = (placed.join(sizes, ["dim", "t", "code"])
-              .withColumn("part", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / (2 * BLOCK))))
-              .groupBy("dim", "t", "code", "part").agg(F.collect_list("node").alias("nodes"),
-                                                       F.collect_list("vec").alias("vecs"))
-              .select("nodes", "vecs"))
+    rows = _blocks(points).groupBy("dim", "t", "code", "part").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("vec").alias("vecs")).select("nodes", "vecs")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -154,7 +166,7 @@ def _first_graph(points: DataFrame, degree: int, kind: str) -> DataFrame:
                     yield _best_of(np.repeat(ids, top.shape[1]), ids[top].ravel(),
                                    np.take_along_axis(s, top, axis=1).ravel(), degree)
 
-    return _merge(blocks.mapInArrow(compare, _NEAR), degree)
+    return _merge(rows.mapInArrow(compare, _NEAR), degree)
 
 
 def _both_ways(graph: DataFrame, degree: int) -> DataFrame:

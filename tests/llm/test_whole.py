@@ -59,3 +59,21 @@ def test_documents_stay_if_no_language_is_learned(spark):
     docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "1 2", None, "s", 3), (3, None, "en", "s", 0)],
                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()] == [1]
+
+
+def test_no_task_has_more_than_a_block_of_the_cells_that_hold_all(spark, monkeypatch):
+    """Vectors are dealt by the number of their block, not by cells that any number may share."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    near = rng.standard_normal(16) + 1e-3 * rng.standard_normal((600, 16))  # one cell in every table
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id bigint, embedding array<double>")
+    points = neighbours._sketched(neighbours._points(neighbours.usable(df), 2).where("vec_id = node"), 4, "f8").cache()
+    blocks = neighbours._blocks(points)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(dim") < plan.index("Join")  # the outermost exchange
+    first = plan[plan.index("hashpartitioning(dim"):].split("\n")[0]
+    assert all(name in first for name in ("dim", "t#", "code", "part"))
+    sizes = blocks.groupBy("dim", "t", "code", "part").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 * 8
+    assert {r.t for r in sizes} == set(range(16))
+    assert blocks.groupBy("node", "t").count().where("count <> 1").isEmpty() and blocks.count() == 600 * 16
