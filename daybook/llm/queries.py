@@ -58,8 +58,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ordermin.fingerprint_edits(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-                        "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        ordermin.written("fingerprint").alias("fingerprint"),
+                        ordermin.written("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
