@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from daybook.session import settle
 
 #: Order keys: the coordinate's place between its bounds, then a hash that orders equal coordinates.
-COORDINATE_BITS, TIE_BITS = 22, 40
+#: It is that of the text, and behind it, for copies that may be parted, one of the doc_id.
+COORDINATE_BITS, TIE_BITS, COPY_BITS = 22, 40, 14
+#: Copies of a text stay together if they are no larger than this share of a shard.
+TOGETHER = 1 / 100
 #: Parts of a span whose weights a pass of the median search adds up.
 SPANS = 4096
 #: A cut may miss its weight by this share of a shard.
@@ -143,37 +146,46 @@ def shard_by_tree(
     checksum is 0). A node is cut along the metadata dimension whose values
     spread widest in it, measured against the spread of the whole table, at its
     weighted median (for an odd number of shards at the like quantile), down to
-    one shard of the target size, total bytes over ``shards``. Rows with equal
-    values are ordered by a hash of the row, so a value that holds a third of
-    all rows, or copies of one text, can be cut anywhere. Null values order
-    first. Rows equal in doc_id and text stay together. ``slot`` numbers a
-    shard's rows from 0 without gaps. With fewer rows than shards some shards
-    stay empty; no rows give no rows.
+    one shard of the target size, total bytes over ``shards``. Equal texts are a
+    group: they have the least values that any of them has, and stay in one
+    shard. Groups larger than ``TOGETHER`` of a shard, which would keep shards
+    from being equal, may be cut, but are not scattered: their rows are
+    neighbours, ordered by a hash of doc_id. Rows with equal values are ordered
+    by a hash of the text. Null values order first. ``slot`` numbers a shard's
+    rows from 0 without gaps. With fewer groups than shards some shards stay
+    empty; no rows give no rows.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 16
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = [d for d in dimensions if d == "size" or d in docs.columns]
     plain = docs.select(
-        "doc_id", size.alias("size"), crc.alias("text_crc32"),
+        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__th"),
         *(_number(size if d == "size" else F.col(d), "bigint" if d == "size" else docs.schema[d].dataType.simpleString())
           .alias(f"__x{i}") for i, d in enumerate(names)))
     rows = settle(plain)
-    bounds = rows.agg(*(f(f"__x{i}").alias(f"{f.__name__}{i}")
-                        for i in range(len(names)) for f in (F.min, F.max))).first()
+    bounds = rows.agg(F.sum("size").alias("bytes"), *(f(f"__x{i}").alias(f"{f.__name__}{i}")
+                                                      for i in range(len(names)) for f in (F.min, F.max))).first()
+    groups = settle(rows.groupBy("__th").agg(
+        F.count("*").alias("__rows"), F.sum("size").alias("__bytes"),
+        *(F.min(f"__x{i}").alias(f"__g{i}") for i in range(len(names)))).where("__rows > 1"))
+    rows = rows.join(groups, "__th", "left")
+    parted = F.coalesce(F.col("__bytes") > (bounds["bytes"] or 0) / shards * TOGETHER, F.lit(False))
+    copy = F.when(parted, F.xxhash64("doc_id").bitwiseAND(F.lit(2**COPY_BITS - 1))).otherwise(0)
     scaled = []
     for i in range(len(names)):
         low, high = bounds[f"min{i}"], bounds[f"max{i}"]
         spread = (high - low) if low is not None and high > low else 1.0
         place = F.coalesce(
-            F.floor((F.col(f"__x{i}") - (low or 0.0)) / spread * (2**COORDINATE_BITS - 2)) + 1,
+            F.floor((F.coalesce(f"__g{i}", f"__x{i}") - (low or 0.0)) / spread * (2**COORDINATE_BITS - 2)) + 1,
             F.lit(0)).cast("bigint")
-        tie = F.xxhash64(F.lit(i), "doc_id", "text_crc32").bitwiseAND(F.lit(2**TIE_BITS - 1))
+        of_text = F.xxhash64(F.lit(i), "__th").bitwiseAND(F.lit(2**(TIE_BITS - COPY_BITS) - 1))
+        tie = F.shiftleft(of_text, COPY_BITS).bitwiseOR(copy.cast("bigint"))
         scaled.append((F.shiftleft(place, TIE_BITS).bitwiseOR(tie)).alias(f"__k{i}"))
-    keyed = rows.select("doc_id", "size", "text_crc32", *scaled)
+    keyed = settle(rows.select("doc_id", "size", "text_crc32", *scaled))
     tree = grow(keyed, [f"__k{i}" for i in range(len(names))], shards)
     placed = keyed.select("doc_id", "size", "text_crc32",
                           _route(tree, lambda x: F.lit(x.first)).cast("int").alias("shard"))
-    return _numbered(placed, max(1, -(-rows.count() // (shards * NUMBERED))))
+    return _numbered(placed, max(1, -(-keyed.count() // (shards * NUMBERED))))
 
 
 def _numbered(placed: DataFrame, parts: int) -> DataFrame:
