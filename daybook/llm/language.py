@@ -24,6 +24,8 @@ UNKNOWN = "und"
 
 #: Bounds of what is learned from: documents per language, characters of each, characters per language.
 SAMPLE_DOCS, SAMPLE_CHARS, SEEN_CHARS = 400, 1_000, 40_000
+#: Size up to which a model is sent to the executors.
+MODEL_BYTES = 400_000_000
 #: Texts are parsed in stretches of so many characters, all at once; a stretch starts a new phrase.
 STRETCH = 512
 #: Characters parsed together.
@@ -56,8 +58,26 @@ def fold(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions by state and letter, 0 for none; the root is state 0."""
+@dataclass(frozen=True)
+class Automaton:
+    """Transitions of a state as a comb: the one by letter c is at ``base[state] + c``, if ``owner`` there is the state.
+
+    Teeth of different states fill each other's gaps, so the size is that of the
+    transitions, of which there are at most three for each character, however
+    large the alphabet.
+    """
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.owner.nbytes + self.target.nbytes
+
+
+def suffix_automaton(codes: np.ndarray, letters: int) -> Automaton:
+    """Of all that occurs in ``codes`` (1 to ``letters`` - 1); the root is state 0."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -84,23 +104,62 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(moves), letters), np.int32)
+    return _combed(moves, letters)
+
+
+def _combed(moves: list[dict[int, int]], letters: int) -> Automaton:
+    """Place the rows of transitions, those with the most first, where all of their teeth find a gap."""
+    free = bytearray()
+    base = np.zeros(len(moves), np.int64)
+    width, at, end = 0, letters, 0
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        row = sorted(moves[state])
+        if not row:
+            break
+        if len(row) != width:
+            width, at = len(row), letters
+        place, tried = at, 0
+        while True:
+            place = free.find(1, place)
+            if place < 0 or place + letters >= len(free):
+                place = len(free) if place < 0 else place
+                free += bytearray(b"\1") * (len(free) + 2 * letters)
+            if all(free[place + c - row[0]] for c in row):
+                break
+            place += 1
+            tried += 1
+        if tried > 50:  # what is in front is too full for rows of this width
+            at = place
+        base[state] = place - row[0]
+        for c in row:
+            free[base[state] + c] = 0
+        end = max(end, int(base[state]) + letters)
+    owner, target = np.full(end + 1, -1, np.int64), np.zeros(end + 1, np.int64)
     for state, row in enumerate(moves):
         for c, to in row.items():
-            table[state, c] = to
-    return table
+            owner[base[state] + c], target[base[state] + c] = state, to
+    small = np.int32 if end < 2**31 else np.int64
+    return Automaton(base.astype(small), owner.astype(small), target.astype(small))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the letters that any of them has, and their automata one below another."""
+    """Languages, the letters that any of them has, and the automaton of each."""
 
     languages: tuple[str, ...]
     alphabet: np.ndarray  # sorted code points; letter 0 is any other
-    table: np.ndarray  # flattened; an entry is where the next state's row begins, or -1
-    roots: np.ndarray
+    automata: tuple[Automaton, ...]
     bits: np.ndarray  # log2 of the characters seen
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in self.automata) + self.alphabet.nbytes
+
+    @property
+    def letter_bits(self) -> float:
+        """What a character takes if letters are drawn from the alphabet without any order."""
+        return float(np.log2(len(self.alphabet)))
+
 
 def build(texts: dict[str, list[str]]) -> Model:
     """A model from texts by language; a language whose texts have no letter is left out."""
@@ -110,15 +169,8 @@ def build(texts: dict[str, list[str]]) -> Model:
         if (joined != 32).any():
             seen[name] = joined
     alphabet = np.unique(np.concatenate([*seen.values(), np.array([32], np.uint32)]))
-    letters = len(alphabet) + 1
-    tables, roots, base = [], [], 0
-    for codes in seen.values():
-        own = suffix_automaton(np.searchsorted(alphabet, codes) + 1, letters)
-        tables.append(np.where(own > 0, (own + base) * letters, -1).astype(np.int32).ravel())
-        roots.append(base * letters)
-        base += len(own)
-    return Model(tuple(seen), alphabet, np.concatenate(tables) if tables else np.zeros(0, np.int32),
-                 np.array(roots, np.int32), np.log2([len(c) + 1 for c in seen.values()]))
+    automata = [suffix_automaton(np.searchsorted(alphabet, codes) + 1, len(alphabet) + 1) for codes in seen.values()]
+    return Model(tuple(seen), alphabet, tuple(automata), np.log2([len(c) + 1 for c in seen.values()]))
 
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -136,19 +188,19 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     owner, begin, length = owner[order], begin[order], length[order]
     alive = np.searchsorted(-length, -np.arange(STRETCH), side="left")  # stretches longer than t
-    for k, root in enumerate(model.roots.tolist()):
-        state = np.full(len(owner), root, np.int32)
+    for k, own in enumerate(model.automata):
+        state = np.zeros(len(owner), own.base.dtype)
         broken = np.zeros(len(owner), np.int32)
         for t in range(STRETCH):
             n = alive[t]
             if not n:
                 break
-            to = model.table[state[:n] + letter[begin[:n] + t]]
-            miss = to < 0
-            broken[:n] += miss
-            to[miss] = root
-            state[:n] = to
-        counts[:, k] = np.bincount(owner, broken + (state != root), len(texts))
+            now = state[:n]
+            tooth = own.base[now] + letter[begin[:n] + t]
+            met = own.owner[tooth] == now
+            broken[:n] += ~met
+            state[:n] = np.where(met, own.target[tooth], 0)
+        counts[:, k] = np.bincount(owner, broken + (state != 0), len(texts))
     return counts
 
 
@@ -181,24 +233,27 @@ def learn(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred, score: a language for every whole text.
+    """``keep``, lang_pred, score, bits: a language for every whole text.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if
     nothing was learned. ``score`` is the lead over the second best language, as
     a share of its entropy; 1 if only one language is known. Ties go to the
-    language whose name orders first. Only ``text`` is looked at; every row
+    language whose name orders first. ``bits`` is the entropy that it wins with,
+    for a character, and null where there is none. Only ``text`` is looked at; every row
     gives a row.
     """
-    # The model is bounded by SEEN_CHARS and the number of languages.
+    # Bounded by SEEN_CHARS for each language: some 4 MB at most.
+    if model.nbytes > MODEL_BYTES:
+        raise ValueError(f"{len(model.languages)} languages make a model of {model.nbytes} bytes; {MODEL_BYTES} may be sent")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def decide(texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def decide(texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         own = shared.value
         folded = [fold(t or "") for t in texts]
         lettered = np.array([bool((c != 32).any()) for c in folded], bool)
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names, scores, least = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if not len(own.languages):
-            return names, scores
+            return names, scores, least
         bits = phrases(own, folded) * own.bits / np.maximum([len(c) for c in folded], 1)[:, None]
         first = np.argmin(bits, axis=1)
         ranked = np.sort(bits, axis=1)
@@ -206,7 +261,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 if len(own.languages) > 1 else np.ones(len(texts)))
         for i in np.flatnonzero(lettered):
             names[i], scores[i] = own.languages[first[i]], float(min(1.0, max(0.0, lead[i])))
-        return names, scores
+            least[i] = float(ranked[i, 0])
+        return names, scores, least
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -217,14 +273,14 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 while at + len(block) < rows and size < BLOCK:
                     block.append(texts[at + len(block)].as_py())
                     size += len(block[-1] or "")
-                names, scores = decide(block)
+                names, scores, least = decide(block)
                 own = part.slice(at, len(block))
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns[:len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*keep, "lang_pred", "score"])
+                    [*own.columns[:len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                     pa.array(least, pa.float64())], names=[*keep, "lang_pred", "score", "bits"])
                 at += len(block)
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(
-        predict, f"{kinds}, lang_pred string, score double")
+        predict, f"{kinds}, lang_pred string, score double, bits double")

@@ -46,18 +46,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row for each of ``docs``; a null text is empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, fp (the 64 bits as a signed long), a row for each of ``docs``; a null text is empty."""
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = np.array([fingerprint(t.as_py() or "", shingle) for t in part.column(1)], np.uint64)
+            values = np.array([fingerprint(t.as_py() or "", shingle) for t in part.columns[-1]], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+                [*part.columns[:-1], pa.array(values.view(np.int64))], names=[*keep, "fp"])
 
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        hashed, f"doc_id {kind}, fp bigint")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(hashed, f"{kinds}, fp bigint")
 
 
 def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,19 +143,22 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return loaded.mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id reachable over links of at most ``radius`` bits.
+def near_duplicates(
+    docs: DataFrame, radius: int = 3, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """``keep``, fp, group, component_id: the least doc_id reachable over links of at most ``radius`` bits.
 
     Equal fingerprints are linked, and so are the zero fingerprints of empty and
-    null texts. Every row gives a row; one whose doc_id is null lends its
-    fingerprint to no link and is in no component (null), unless documents of
-    the same fingerprint have one.
+    null texts. ``group`` is a fingerprint of the component and tells components
+    apart also where rows share a doc_id. Every row gives a row; one whose doc_id
+    is null lends its fingerprint to no link and is in no component (null),
+    unless documents of the same fingerprint have one. ``keep`` has doc_id.
     """
-    prints = settle(fingerprints(docs, shingle))
+    prints = settle(fingerprints(docs, shingle, keep))
     nodes = settle(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(near_links(nodes.select("fp"), radius))
     rooted = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left").select(
-        "doc_id", "fp", "component_id")
+        "fp", "least", F.coalesce("root", "fp").alias("group"))
+    least = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "group").select("fp", "group", "component_id"), "fp", "left").select(
+        *keep, "fp", "group", "component_id")

@@ -1,11 +1,15 @@
 """Each operator against brute force on small tables that hold the awkward cases."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from daybook.llm import (
@@ -314,6 +318,75 @@ def test_fingerprints_see_order(spark):
     assert len(got[1] & got[3]) > len(got[1] & got[2])
 
 
+def mixed(*values, seed=42):
+    """The 64-bit hash of several values, each one's being the seed of the next."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def signature_by_hand(text):
+    """Parts of an Order MinHash: of each part's two least k-mers, numbered by occurrence, the pair in text order."""
+    tokens = re.split("[\t\n\x0b\f\r ]+", text)
+    tokens = [t for t in tokens if t]
+    kmers = [tokens[i:i + 3] for i in range(max(1, len(tokens) - 2))] if tokens else []
+    entries = sorted((mixed(*k) >> 28, i) for i, k in enumerate(kmers))
+    out = []
+    for part in range(32):
+        two = [e for e in entries if e[0] >> 31 == part][:2]
+        number = lambda h: h.to_bytes(8, "little")
+        if len(two) == 1:
+            pair = mixed(number(two[0][0]))
+        elif len(two) == 2 and two[0][0] == two[1][0]:
+            pair = mixed(number(two[0][0]), (1).to_bytes(4, "little"))
+        elif two:
+            pair = mixed(*(number(h) for h, _ in sorted(two, key=lambda e: e[1])))
+        else:
+            continue
+        out.append(f"{part:02x}{pair & 0xFFFFFFFF:08x}")
+    return out
+
+
+def test_fingerprints_are_those_by_hand(spark, docs, rows):
+    texts = {r[1] or "" for r in rows} | {"a b a b a b a b a b", "\u2003 x\x0by\fz", "x " * 400}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.w for r in ordermin.with_signature(df, "t", "s").select("t", ordermin.written("s").alias("w")).collect()}
+    hands = {t: signature_by_hand(t) for t in texts}
+    assert got == {t: "".join(s) for t, s in hands.items()}
+
+    def alike(a, b):
+        a, b = (set(signature_by_hand(x)) for x in (a, b))
+        parts = {x[:2] for x in a | b}
+        return math.sqrt(len(a & b) / len(parts)) if parts else 1.0
+
+    for r in ordermin.fingerprint_edits(docs).collect():
+        source = next((x[1] or "") for x in rows if x[0] == r.doc_id and len(x[1] or "") == r.n_chars
+                      and (r.edited.startswith((x[1] or "")[:r.n_chars - r.n_chars // 3])))
+        assert r.near_edited == pytest.approx(alike(source, r.edited))
+        assert 0 <= r.near_next <= 1
+
+
+def test_next_rows_of_one_id(spark, monkeypatch):
+    """An id that most rows share is cut, rows that are equal take each other's text."""
+    monkeypatch.setattr(ordermin, "ORDERED", 100)
+    rows = [(5, f"text {i % 300}") for i in range(600)] + [(None, f"n {i}") for i in range(200)] + [(9, "last"), (1, "b c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = ordermin.fingerprint_edits(df).collect()
+    assert len(got) == len(rows)
+    texts = [(t, n) for (_, t), n in Counter(rows).items()]
+    seen = Counter(r.edited for r in got)
+    # Of two equal rows one is followed by the other.
+    same = Counter(t[:len(t) - len(t) // 3] + t[:len(t) // 3] for t, n in texts if n == 2)
+    assert all(seen[e] >= n for e, n in same.items())
+    light = df.where("doc_id = 5").distinct().select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    bounds = ordermin._bounds(light, 40)
+    assert len(bounds) > 20  # the one id is many ranges
+    sizes = light.groupBy(ordermin._group(bounds)).count().agg(F.max("count")).first()[0]
+    assert sizes < 100
+
+
 def test_next_rows_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(ordermin, "ORDERED", 100)
     df = spark.range(500).select((F.col("id") * 7).alias("id"), F.lit(0).cast("bigint").alias("th"),
@@ -338,6 +411,25 @@ def test_shards(spark, docs, none, rows):
     assert sharding.shard_by_tree(none, 40).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Unless they are too many for shards of equal size; then they are neighbours."""
+    rng = random.Random(19)
+    small = [f"group {i} " + "x" * rng.randint(0, 60) for i in range(800)]
+    rows = [(i, t, rng.choice("abc"), f"s{rng.randint(0, 50)}") for i, t in enumerate(small * 3)]
+    rows += [(10_000 + i, "hot " * 20, rng.choice("abc"), f"s{i % 50}") for i in range(1200)]
+    rows += [(20_000 + i, f"single {i}" + "y" * 50, "a", "s1") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+    got = sharding.shard_by_tree(df, 9).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 9 and sizes.max() < 1.03 * sizes.mean() and sizes.min() > 0.97 * sizes.mean()
+    spread = got.groupby("text_crc32").shard.nunique()
+    hot = zlib.crc32(("hot " * 20).encode())
+    assert spread.drop(hot).max() == 1
+    whole = -(-int((got.text_crc32 == hot).sum()) * 96 // int(sizes.mean()))
+    assert spread[hot] <= whole + 2
+    assert sorted(got.doc_id) == sorted(r[0] for r in rows)
+
+
 # --- archives ----------------------------------------------------------------
 
 
@@ -424,6 +516,57 @@ def test_phrases_are_the_longest_matches():
         assert got[:, k].tolist() == [phrases(t, seen) for t in plain]
 
 
+@pytest.fixture(scope="module")
+def parsed_by_hand():
+    """A model with a tie and another script, texts, and their phrases counted letter by letter."""
+    rng = random.Random(21)
+    texts = {"b": ["".join(rng.choice("abcd e") for _ in range(200))], "a": ["".join(rng.choice("abxy z") for _ in range(260))],
+             "zh": ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(400))], "none": ["12 3"]}
+    texts["c"] = texts["a"]  # always a tie
+    model = language.build(texts)
+    assert model.languages == ("a", "b", "c", "zh")
+
+    def parsed(text, seen):
+        count, at = 0, 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[at:end + 1] in seen:
+                end += 1
+            count, at = count + 1, end + 1
+        return count
+
+    samples = ["".join(rng.choice("abcdxyz ") for _ in range(k)) for k in (1, 7, 60, 300)] + ["一丁丂", "Ab!!cd", "ß", texts["b"][0]]
+    seen = ["".join(map(chr, language.fold(" ".join(texts[n])))) for n in model.languages]
+    assert model.bits.tolist() == pytest.approx([math.log2(len(s) + 1) for s in seen])
+    plain = [re.sub(r"[\W\d_]+", " ", t.lower()) for t in samples]
+    return model, samples, np.array([[parsed(t, s) for s in seen] for t in plain])
+
+
+def test_phrases_are_those_by_hand(parsed_by_hand):
+    model, samples, found = parsed_by_hand
+    assert (language.phrases(model, [language.fold(t) for t in samples]) == found).all()
+
+
+def test_language_is_the_one_of_least_entropy(spark, parsed_by_hand):
+    model, samples, found = parsed_by_hand
+    df = spark.createDataFrame(list(enumerate(samples)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    for i, text in enumerate(samples):
+        bits = found[i] * model.bits / len(language.fold(text))
+        order = sorted(range(4), key=lambda k: (bits[k], model.languages[k]))
+        assert got[i].lang_pred == model.languages[order[0]]
+        assert got[i].score == pytest.approx(1 - bits[order[0]] / bits[order[1]])
+        assert got[i].bits == pytest.approx(bits[order[0]])
+
+
+def test_large_alphabets_make_small_models():
+    rng = random.Random(22)
+    scripts = {"zh": range(0x4E00, 0x5A00), "ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xB400),
+               "ru": range(0x430, 0x450), "en": range(0x61, 0x7B)}
+    model = language.build({n: ["".join(chr(rng.choice(s)) for _ in range(40_000))] for n, s in scripts.items()})
+    assert model.nbytes < 30_000_000 and len(model.languages) == 5
+
+
 def test_languages(docs, none, rows):
     model = language.learn(docs)
     got = language.identify(docs, model, keep=("doc_id", "n_chars", "key")).collect()

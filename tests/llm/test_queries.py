@@ -26,6 +26,33 @@ def test_query_gives_a_row_for_each_of_its_rows(spark, name):
         "count <> 5").count() == 0
 
 
+SCHEMAS = {
+    2: "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    3: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    4: "doc_id bigint, fingerprint string, component_id bigint",
+    5: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    6: "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    7: "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+       "near_edited double, near_next double",
+    8: "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    9: "query_id bigint, rank int, vec_id bigint, score double",
+    10: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    11: "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    12: "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
+        "score double",
+    13: "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
+        "saved_tokens bigint, ends_sha256 string",
+}
+
+
+@pytest.mark.parametrize("number", sorted(SCHEMAS))
+def test_query_has_the_columns_of_its_contract(spark, number):
+    name = next(n for n in QUERIES if n.startswith(f"op{number}_"))
+    kinds = dict(QUERIES[name](spark, SF_DIR).dtypes)
+    wanted = dict(c.split(" ") for c in SCHEMAS[number].split(", "))
+    assert {c: kinds.get(c) for c in wanted} == wanted
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op10_language_id"](spark, SF_DIR).join(docs, "doc_id").where("held_out AND lang_pred <> 'und'")
