@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import language, lines, packing, repeats, simhash
-from daybook.session import scratch
+from daybook.session import scratch, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,16 +23,25 @@ def _documents(df: DataFrame, text: Column) -> DataFrame:
         "n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
+#: Lead over the second language from which the label that a text came with gives way.
+SURE = 0.2
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without text or letters go.
+    """Documents in which a language is found, labelled with it.
 
-    Where no label teaches a language, all documents with letters stay.
+    A document goes if its text is null, has no letter, or takes as many bits a
+    character in every language as letters drawn at random. A missing label
+    becomes the language found, and so does another one that it leads by
+    ``SURE``. Where no label teaches a language, all documents with letters stay.
     """
     model = language.learn(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    found = language.identify(docs, model, keep=COLUMNS)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    found = language.identify(docs, model, keep=COLUMNS).where(
+        (F.col("lang_pred") != language.UNKNOWN) & (F.col("bits") < model.letter_bits))
+    label = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", label).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +52,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once.
+    """Of each group of near duplicates the document with the least doc_id, and then hash of its text, once.
 
+    Rows that share a doc_id are documents of their own if their texts differ.
+    Of rows equal in both the one stays whose other columns order first.
     Documents without doc_id cannot be told apart and stay.
     """
-    found = simhash.near_duplicates(docs, radius=3, shingle=3)
-    rest = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti")
-    none = kept.where("doc_id IS NULL")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(*COLUMNS).union(
-        none.select(*COLUMNS))
+    docs = docs.select(*COLUMNS).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = settle(simhash.near_duplicates(
+        docs.where("doc_id IS NOT NULL"), radius=3, shingle=3, keep=("doc_id", "__th")))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "__th")).alias("f")).select("f.doc_id", "f.__th")
+    again = found.groupBy("doc_id", "__th").count().where("count > 1").select("doc_id", "__th")
+    kept = docs.join(settle(first), ["doc_id", "__th"], "left_semi")
+    once = kept.join(again, ["doc_id", "__th"], "left_anti").select(*COLUMNS)
+    row = F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")
+    of_many = kept.join(again, ["doc_id", "__th"], "left_semi").groupBy("doc_id", "__th").agg(row).select(
+        "doc_id", "r.*").select(*COLUMNS)
+    return once.union(of_many).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
