@@ -4,16 +4,19 @@ Equal strings of ``length`` bytes have equal least hashes of the ``GRAM``-byte
 pieces inside them, so they meet under the same key whichever documents they are
 in. A run of neighbouring starts with one key is a segment of text. Keys that
 occur once in all documents have no partner and go no further; the segments of
-the others are sorted as suffix arrays, some megabytes of whole keys at a time,
-and neighbours whose common prefix is long enough are repeats.
+the others are sorted as suffix arrays, each distinct one once, some megabytes of
+whole keys at a time, and neighbours whose common prefix is long enough are
+repeats. Where a segment lies is joined to what was found in it.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,31 +62,45 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def runs_of(data: bytes, length: int) -> list[tuple[int, int, int, bool]]:
-    """(key, first start, last start, whether the key's piece occurs again in ``data``)."""
-    if len(data) < length:
-        return []
-    grams = _hashes(np.frombuffer(data, np.uint8), GRAM)
+def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, first start, last start, whether the key's piece occurs again in ``data``, of each run.
+
+    Starts are looked at some millions at a time; a run ends with its block, too.
+    """
+    starts = len(data) - length + 1
+    whole = np.frombuffer(data, np.uint8)
     width = length - GRAM + 1
-    least = _sliding(grams, width, np.minimum)
-    begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    # A piece is an anchor if some string it lies in has no lesser one.
-    most = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least,
-                                    np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    anchors = grams[most == grams]
-    found, many = np.unique(anchors, return_counts=True)
-    keys = least[begin]
-    again = many[np.searchsorted(found, keys)] > 1
-    return list(zip(keys.view(np.int64).tolist(), begin.tolist(),
-                    [*(begin[1:] - 1).tolist(), len(least) - 1], again.tolist(), strict=True))
+    keys, begins, ends, places, pieces = [], [], [], [], []
+    for first in range(0, starts, BLOCK):
+        until = min(first + BLOCK, starts)
+        grams = _hashes(whole[first:until + length - 1], GRAM)
+        least = _sliding(grams, width, np.minimum)
+        begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        # A piece is an anchor if some string it lies in has no lesser one.
+        none = np.zeros(width - 1, np.uint64)
+        anchor = np.flatnonzero(_sliding(np.concatenate([none, least, none]), width, np.maximum) == grams)
+        keys.append(least[begin])
+        begins.append(first + begin)
+        ends.append(first + np.r_[begin[1:] - 1, len(least) - 1])
+        places.append(first + anchor)
+        pieces.append(grams[anchor])
+    if not keys:
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty, np.empty(0, bool)
+    # An anchor near the end of a block is one of the next block, too.
+    _, once = np.unique(np.concatenate(places), return_index=True)
+    found, many = np.unique(np.concatenate(pieces)[once], return_counts=True)
+    key = np.concatenate(keys)
+    return (key.view(np.int64), np.concatenate(begins), np.concatenate(ends),
+            many[np.searchsorted(found, key)] > 1)
 
 
 _OWN = "id bigint, th bigint"
 
 
-def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(),
-             "spans": pa.list_(pa.int64())}
+             "array<bigint>": pa.list_(pa.int64())}
     fields = [f.strip().split(" ") for f in schema.split(",")]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)],
@@ -91,20 +108,23 @@ def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
-    schema = f"{_OWN}, key bigint, a int, b int, again boolean"
+    schema = f"{_OWN}, key bigint, a bigint, b bigint, again boolean"
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for part in parts:
-            columns: list[list] = [[] for _ in range(6)]
-            for i, t, data in zip(*(c for c in part.columns), strict=True):
-                for run in runs_of(data.as_py(), length):
-                    for c, v in zip(columns, (i.as_py(), t.as_py(), *run), strict=True):
-                        c.append(v)
-                if len(columns[0]) > 50_000:
-                    yield _batch(schema, columns)
-                    columns = [[] for _ in range(6)]
-            if columns[0]:
-                yield _batch(schema, columns)
+            for i, t, data in zip(*part.columns, strict=True):
+                run = runs_of(data.as_py(), length)
+                n = len(run[0])
+                if n:
+                    held.append((np.full(n, i.as_py()), np.full(n, t.as_py()), *run))
+                    size += n
+                if size > 100_000:
+                    yield _batch(schema, [np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, size = [], 0
+        if held:
+            yield _batch(schema, [np.concatenate(c) for c in zip(*held, strict=True)])
 
     return texts.mapInArrow(scan, schema)
 
@@ -122,7 +142,7 @@ def _loaded(texts: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _windows(loaded: DataFrame, length: int) -> DataFrame:
     """Each start in the runs given, with a hash of the string that starts there."""
-    schema = f"{_OWN}, key bigint, a int"
+    schema = f"{_OWN}, key bigint, a bigint"
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -141,78 +161,96 @@ def _windows(loaded: DataFrame, length: int) -> DataFrame:
     return loaded.mapInArrow(scan, schema)
 
 
-def _segments(loaded: DataFrame, length: int) -> DataFrame:
-    """key, data, places (id, th, start one after another): equal segments of a batch are one row."""
-    schema = "key bigint, data binary, places array<bigint>"
+def _cut(keys: list, a: list, b: list, data: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """key, first start and bytes of the segments of one text."""
+    for key, x, y in zip(keys, a, b, strict=True):
+        for s in range(x, y + 1, RUN):
+            yield key, s, data[s:min(s + RUN - 1, y) + length]
+
 
-    def emit(held: dict) -> pa.RecordBatch:
-        return _batch("key bigint, data binary, places spans",
-                      [[k for k, _ in held], [d for _, d in held], list(held.values())])
+def _named(data: bytes) -> tuple[int, int]:
+    """128 bits that stand for a segment."""
+    return struct.unpack("<qq", xxhash.xxh128_digest(data))
+
+
+def _segments(loaded: DataFrame, length: int) -> DataFrame:
+    """key, data, n: the segments, and how often each was met; equal ones of a batch are one row."""
+    schema = "key bigint, data binary, n bigint"
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[int]] = {}
+        held: dict[tuple[int, bytes], int] = {}
         size = 0
+
+        def emit() -> pa.RecordBatch:
+            return _batch(schema, [[k for k, _ in held], [d for _, d in held], list(held.values())])
+
+        for part in parts:
+            for k in range(part.num_rows):
+                _, _, data, keys, a, b = (c[k].as_py() for c in part.columns)
+                for key, _, segment in _cut(keys, a, b, data, length):
+                    met = held.get((key, segment), 0)
+                    held[key, segment] = met + 1
+                    size += 0 if met else len(segment) + 300
+                    if size > 16_000_000:
+                        yield emit()
+                        held, size = {}, 0
+        yield emit()
+
+    return loaded.mapInArrow(scan, schema)
+
+
+def _places(loaded: DataFrame, length: int) -> DataFrame:
+    """x, y (the name of a segment), id, th, s: where each segment begins."""
+    schema = f"x bigint, y bigint, {_OWN}, s bigint"
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            rows = []
             for k in range(part.num_rows):
                 i, t, data, keys, a, b = (c[k].as_py() for c in part.columns)
-                for key, x, y in zip(keys, a, b, strict=True):
-                    for s in range(x, y + 1, RUN):
-                        own = (key, data[s:min(s + RUN - 1, y) + length])
-                        places = held.get(own)
-                        if places is None:
-                            held[own] = [i, t, s]
-                            size += len(own[1]) + 300
-                        else:
-                            places += (i, t, s)
-                            size += 100
-                        if size > 16_000_000:
-                            yield emit(held)
-                            held, size = {}, 0
-        if held:
-            yield emit(held)
+                rows += [(*_named(segment), i, t, s) for _, s, segment in _cut(keys, a, b, data, length)]
+                if len(rows) > 100_000:
+                    yield _batch(schema, list(zip(*rows, strict=True)))
+                    rows = []
+            if rows:
+                yield _batch(schema, list(zip(*rows, strict=True)))
 
     return loaded.mapInArrow(scan, schema)
 
 
-def _spans(segments: DataFrame, length: int) -> DataFrame:
-    """id, th, a, b: bytes covered by repeats. ``segments`` has whole keys in each partition, in order."""
-    schema = f"{_OWN}, a bigint, b bigint"
+def _hits(segments: DataFrame, length: int) -> DataFrame:
+    """x, y, begins, ends: what repeats cover in each distinct segment that has any.
+
+    ``segments`` has whole keys in each partition, in order. Of a key there are
+    at most so many segments as it has runs, which a hot one has been cut into
+    windows for; where they lie does not come here.
+    """
+    schema = "x bigint, y bigint, begins array<bigint>, ends array<bigint>"
 
-    def sort(held: dict[tuple[int, bytes], list[int]]) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], []]
-        starts = repeated_starts([d for _, d in held], length)
-        for ((_, data), places), hit in zip(held.items(), starts, strict=True):
-            if len(places) > 3:
+    def sort(held: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+        rows = []
+        for ((_, data), n), hit in zip(held.items(), repeated_starts([d for _, d in held], length), strict=True):
+            if n > 1:
                 hit = np.arange(len(data) - length + 1)
             if not len(hit):
                 continue
             cut = np.flatnonzero(np.diff(hit) > length)  # further apart than they cover
-            begin, end = hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, len(hit) - 1]].tolist()
-            for k in range(0, len(places), 3):
-                i, t, s = places[k:k + 3]
-                for x, y in zip(begin, end, strict=True):
-                    for c, v in zip(columns, (i, t, s + x, s + y + length), strict=True):
-                        c.append(v)
-        return _batch(schema, columns)
+            rows.append((*_named(data), hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + length))
+        return _batch(schema, list(zip(*rows, strict=True)) or [[], [], [], []])
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[int]] = {}
+        held: dict[tuple[int, bytes], int] = {}
         size, last = 0, None
         for part in parts:
-            for k in range(part.num_rows):
-                key = part.column(0)[k].as_py()
+            for key, data, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if key != last and size > SORTED:
                     yield sort(held)
                     held, size = {}, 0
                 last = key
-                data, places = part.column(1)[k].as_py(), part.column(2)[k].as_py()
-                if (key, data) in held:
-                    held[key, data] += places
-                else:
-                    held[key, data] = places
-                    size += len(data)
-        if held:
-            yield sort(held)
+                met = held.get((key, data), 0)
+                held[key, data] = met + n
+                size += 0 if met else len(data)
+        yield sort(held)
 
     return segments.mapInArrow(scan, schema)
 
@@ -287,9 +325,13 @@ def cut_repeats(
         again = windows.groupBy("key").count().where("count > 1").select("key")
         looked_at = looked_at.union(
             windows.join(again, "key").select("id", "th", "key", "a", F.col("a").alias("b")))
-    segments = _segments(_loaded(texts, looked_at), length)
-    dealt = segments.repartition(parts, "key").sortWithinPartitions("key")
-    spans = _spans(dealt, length).union(
+    loaded = _loaded(texts, looked_at)
+    dealt = _segments(loaded, length).repartition(parts, "key").sortWithinPartitions("key")
+    # A segment that very many texts share is a skewed key of this join, which Spark splits.
+    placed = _places(loaded, length).join(_hits(dealt, length), ["x", "y"]).select(
+        "id", "th", "s", F.explode(F.arrays_zip("begins", "ends")).alias("span"))
+    spans = placed.select("id", "th", (F.col("s") + F.col("span.begins")).alias("a"),
+                          (F.col("s") + F.col("span.ends")).alias("b")).union(
         copies.where(F.col("n") >= length).select(
             "id", "th", F.lit(0).cast("bigint"), F.col("n").cast("bigint")))
     merged = settle(_merged(spans))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -264,26 +265,74 @@ def test_suffix_arrays():
         assert order.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
 
 
-@pytest.mark.parametrize(("length", "hot"), [(200, 20_000), (64, 20_000), (64, 2), (100, 1)])
-def test_repeats_against_all_strings(docs, none, rows, length, hot):
-    data = [(r[1] or "").encode() for r in rows]
-    seen = {}
-    for k, text in enumerate(data):
-        for i in range(len(text) - length + 1):
-            seen.setdefault(text[i:i + length], []).append((k, i))
-    want = []
+def kept_by_hand(texts, length):
+    """Bytes of each text that no string of ``length`` bytes covers that starts anywhere else."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    kept = []
     for text in data:
         cover = np.zeros(len(text), bool)
         for i in range(len(text) - length + 1):
-            if len(seen[text[i:i + length]]) > 1:
+            if seen[text[i:i + length]] > 1:
                 cover[i:i + length] = True
-        want.append(bytes(np.frombuffer(text, np.uint8)[~cover]))
+        kept.append(bytes(np.frombuffer(text, np.uint8)[~cover]))
+    return kept
+
+
+@pytest.mark.parametrize(("length", "hot"), [(200, 20_000), (64, 20_000), (64, 2), (100, 1)])
+def test_repeats_against_all_strings(docs, none, rows, length, hot):
+    want = kept_by_hand([r[1] for r in rows], length)
     got = repeats.cut_repeats(docs, length=length, hot=hot).withColumn("gone", repeats.removed_bytes()).collect()
     assert sorted(bytes(r.kept) for r in got) == sorted(want)
     assert all(r.n_bytes - r.gone == len(r.kept) for r in got)
     assert repeats.cut_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 150, 1000])
+def test_runs_do_not_depend_on_blocks(monkeypatch, block):
+    rng = random.Random(31)
+    piece = words(rng, 60).encode()
+    data = piece + words(rng, 90).encode() + piece + b"ab" * 300 + piece[:150]
+    whole = repeats.runs_of(data, 100)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    cut = repeats.runs_of(data, 100)
+
+    def by_start(runs):
+        return [(k, again) for k, a, b, again in zip(*(c.tolist() for c in runs), strict=True) for _ in range(a, b + 1)]
+
+    assert by_start(cut) == by_start(whole) and len(cut[0]) >= len(whole[0])
+    assert [len(c) for c in repeats.runs_of(b"x" * 99, 100)] == [0] * 4
+
+
+def test_a_very_long_text_takes_little_memory():
+    data = np.random.default_rng(3).integers(97, 123, 50_000_000, np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        keys, begins, ends, again = repeats.runs_of(data, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 500_000_000 and not again.any()
+    assert begins[0] == 0 and ends[-1] == len(data) - 200 and (begins[1:] == ends[:-1] + 1).all()
+
+
+@pytest.mark.parametrize("hot", [20_000, 100])
+def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch, hot):
+    """Where it lies does not meet in one task, and beyond ``hot`` its surroundings do not, either."""
+    rng = random.Random(32)
+    passage = "P" + words(rng, 70) + "Q"
+    texts = [f"{words(rng, 30)} {passage} {words(rng, 30)}" if i % 3 == 0 else words(rng, 50) for i in range(600)]
+    texts += [passage] * 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    sent = []
+    hits = repeats._hits
+    monkeypatch.setattr(repeats, "_hits", lambda segments, length: hits(
+        segments.transform(lambda df: (sent.append(df.groupBy("key").count().agg(F.max("count")).first()[0]), df)[1]), length))
+    got = repeats.cut_repeats(df, length=200, hot=hot).collect()
+    assert sorted(bytes(r.kept) for r in got) == sorted(kept_by_hand(texts, 200))
+    assert sent[0] <= hot
+
+
 # --- fingerprints and shards -------------------------------------------------
 
 
