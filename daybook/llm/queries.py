@@ -98,9 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_spelling_variants, op12_suffix_tree_scores, op13_conversation_trie)
 }
 
-# The unsigned crc32 of a text of ASCII characters: a byte at a time, eight shifts each.
+# The unsigned crc32 of bytes given in hexadecimal: a byte at a time, eight shifts each.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-                list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                list_transform(range(0, length({text}) // 2), lambda i: CAST(('0x' || substr({text}, 2 * i + 1, 2)) AS BIGINT))),
                 lambda crc, x: list_reduce(list_prepend(xor(crc, x), list_transform(range(8), lambda y: CAST(0 AS BIGINT))),
                     lambda v, y: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
 
@@ -146,13 +146,50 @@ ORACLES = {
                    AS record_type,
                CASE WHEN p.page_id <> k.keep THEN k.keep END AS refers_to
         FROM p LEFT JOIN k ON p.digest = k.digest""",
+    "op11_spelling_variants": f"""
+        WITH r AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')),
+                                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+                FROM documents) AS x
+            GROUP BY doc_id, run),
+        h AS (
+            SELECT run, n, {_CRC32.format(text="hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run))")} AS h
+            FROM r),
+        w AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT n, CASE WHEN h % 31 = 0
+                               THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                               ELSE run END AS word FROM h) AS y
+            GROUP BY word HAVING sum(n) >= 2 AND length(word) >= 7),
+        d AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w) AS z),
+        p AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM d AS a JOIN d AS b
+            ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+            UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+        b AS (SELECT word, count(*) AS n_near, min({{'m': -near_n, 'w': near}}) AS best FROM p GROUP BY word),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN -best.m >= 10 * w.n THEN best.w END AS form,
+                   CASE WHEN -best.m >= 10 * w.n THEN -best.m END AS form_n
+            FROM w LEFT JOIN b ON w.word = b.word),
+        -- A form is ten times as frequent, so chains are short.
+        g AS (SELECT word, coalesce(form, word) AS root FROM f),
+        g2 AS (SELECT a.word, b.root FROM g AS a JOIN g AS b ON a.root = b.word),
+        g4 AS (SELECT a.word, b.root FROM g2 AS a JOIN g2 AS b ON a.root = b.word),
+        g8 AS (SELECT a.word, b.root FROM g4 AS a JOIN g4 AS b ON a.root = b.word),
+        g16 AS (SELECT a.word, b.root FROM g8 AS a JOIN g8 AS b ON a.root = b.word)
+        SELECT f.word, f.form, g16.root, f.n, f.n_near, f.form_n FROM f JOIN g16 ON f.word = g16.word""",
     "op13_conversation_trie": f"""
         WITH o AS (
             SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i
             FROM conversations WHERE conv_id IS NOT NULL),
         h AS (
-            SELECT c, c - c % 5 AS base, {_CRC32.format(text="CAST(c AS VARCHAR)")} % 9 AS h, count(*) AS n
+            SELECT c, c - c % 5 AS base, {_CRC32.format(text="hex(encode(CAST(c AS VARCHAR)))")} % 9 AS h, count(*) AS n
             FROM o GROUP BY c),
         k AS (
             SELECT h.c, h.base, CASE WHEN h.c = h.base THEN 0 ELSE h.h END AS h,
