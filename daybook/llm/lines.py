@@ -143,24 +143,34 @@ def dedup_lines(
     stays null and has no lines, an empty one has one blank line. Rows without
     doc_id come before all others. Rows of one doc_id with different texts are
     ordered by a hash of the text; rows equal in both are the same document and
-    are treated alike. Other columns are passed on.
+    are treated alike. Other columns are passed on, whatever their names, but for
+    those that are called as the two counts: the counts take their place.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in counts}))
+    id_, th, gone, split = (_free(n, docs) for n in ("__id", "__th", "__drops", "__split"))
     base = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))),
-        "__th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+        id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))),
+        th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     drops = line_drops(
-        base.where("text IS NOT NULL").select(F.col("__id").alias("id"), F.col("__th").alias("th"), "text"),
+        base.where("text IS NOT NULL").select(F.col(id_).alias("id"), F.col(th).alias("th"), "text"),
         max_edits, min_chars)
-    drops = drops.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(F.col("__split")) - 1), F.col("__drops"))
-    joined = base.join(drops, ["__id", "__th"], "left").withColumn(
-        "__split", F.when(F.col("__drops").isNotNull(), split))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at("__split", i + 1)), "\n"))
+    drops = drops.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("drops").alias(gone))
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(F.col(split)) - 1), F.col(gone))
+    joined = base.join(drops, [id_, th], "left").withColumn(split, F.when(F.col(gone).isNotNull(), lines))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
     return joined.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("bigint").alias(counts[0]),
-        F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("bigint").alias(counts[1]))
+        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias(counts[0]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias(counts[1]))
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """The name, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

@@ -333,6 +333,16 @@ def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch, hot):
     assert sent[0] <= hot
 
 
+def test_line_dedup_passes_on_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__id", "__th", "__drops", "__split", "n_lines", "N_Dropped", "a.b", "th"]
+    rows = [(i, "a line that is shared by all\nown line number %d" % i, *"abcdefgh") for i in range(4)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, names))
+    assert got.columns == [n for n in names if n.lower() not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    found = sorted(tuple(r) for r in got.collect())
+    assert [r[2:] for r in found] == [(*"abcdgh", 2, int(i > 0)) for i in range(4)]
+    assert "shared" in found[0][1] and not any("shared" in r[1] for r in found[1:])
+
+
 # --- fingerprints and shards -------------------------------------------------
 
 
