@@ -27,12 +27,12 @@ from daybook.session import settle
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of one sequence. The defaults for documents and cost never bind before the tokens do."""
+    """Of one sequence. By default documents and cost never bind before the tokens do, but weigh in the score."""
 
     tokens: int = 4096
     documents: int = 4096
     cost: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     score: str = "norm"  # or "dot"
 
 
