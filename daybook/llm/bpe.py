@@ -29,8 +29,8 @@ from daybook.llm.shipping import ship
 #: Encoded pieces of text after which a worker's table takes its next turn: what was
 #: met in neither of the last two turns is forgotten.
 KEPT = 250_000
-#: Characters of text whose pieces are looked up together.
-TOGETHER = 8_000_000
+#: Characters of text whose pieces are looked up together, and of a slice of a text longer than that.
+TOGETHER, SLICE = 8_000_000, 1_000_000
 
 # The byte alphabet and the word pattern of the vocabulary.
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
@@ -40,6 +40,7 @@ WORD_END = "</w>"
 # Up to here lower case, composition and letters mean the same in Python as in
 # the library; texts with other characters, or with the separators that only
 # Python takes for white space, are normalised and split by the library.
+_SPACE = re.compile("[ \t\n]")
 PLAIN = re.compile("[^\x00-\x1b\x20-ɏ]")
 
 
@@ -194,6 +195,15 @@ class Codec:
         self._learn(fresh)
         return ([kept[p] for p in pieces] for pieces in cut)
 
+    def joined(self, texts: list[str]) -> Iterator[Any]:
+        """For each text what ``join`` makes of its pieces; of a long text some slices are held at a time."""
+        short = map(self.join, self.rendered(t for t in texts if len(t) <= TOGETHER))
+        for text in texts:
+            if len(text) <= TOGETHER:
+                yield next(short)
+            else:
+                yield self.join([self.join(p) for s in _slices(text) for p in self.rendered([s]) if p])
+
     def _learn(self, pieces: list) -> None:
         """A piece is made of its words; those are pieces, too, and mostly known."""
         kept, aged = self.kept, self.aged
@@ -225,6 +235,16 @@ class Codec:
                 kept[piece] = self.join([kept[word] for word in parts])
 
 
+def _slices(text: str) -> Iterator[str]:
+    """Slices that begin at white space, which no word spans."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _texts_of(ids: list[int], tokens: list[str]) -> tuple[int, str, str]:
     return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
@@ -258,14 +278,16 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     ``ids`` are decimals joined by one space. Special tokens written out in a
     text count as such, as in the library without further settings. A null text
     is an empty one: no ids and an empty decoded text. Every input row gives one
-    row, repeated and null doc_ids included; other columns are not looked at.
+    row, repeated and null doc_ids included; other columns are not looked at. A
+    long text is cut between words, so only its ids and decoded text, which are
+    one value each, grow with it.
     """
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, _texts_of, _join_texts)
         for part in parts:
             at = 0
             for texts in batches(part.column(1)):
-                found = [own.join(pieces) for pieces in own.rendered(texts)]
+                found = list(own.joined(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(at, len(texts)), pa.array([f[0] for f in found], pa.int64()),
                      pa.array([f[1] for f in found], pa.string()),

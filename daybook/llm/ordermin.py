@@ -28,8 +28,9 @@ def with_signature(df: DataFrame, text: str, out: str, words: int = WORDS) -> Da
 
     Words are what white space separates. A text of fewer words than a k-mer has
     one k-mer, all of them. Parts that no k-mer falls into are missing, so a
-    text without words has an empty signature. Columns named ``__s…`` must be
-    free.
+    text without words has an empty signature. Up to 2^27 words the order of all
+    k-mers is told, which is more than a text of 250 MB can have. Columns named
+    ``__s…`` must be free.
     """
     place, part = (1 << PLACE) - 1, 63 - PART_BITS
     spaced = F.col(text)

@@ -91,8 +91,8 @@ def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) ->
             at = 0
             for texts in batches(part.column(1)):
                 rows = []
-                for doc, pieces in zip(ids[at:at + len(texts)], own.rendered(texts), strict=True):
-                    data = own.join(pieces) + last
+                for doc, joined in zip(ids[at:at + len(texts)], own.joined(texts), strict=True):
+                    data = joined + last
                     for k, start in enumerate(range(0, len(data) // 4, limit)):
                         piece = data[4 * start:4 * (start + limit)]
                         rows.append((doc, k, start, len(piece) // 4, zlib.crc32(piece)))

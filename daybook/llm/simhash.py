@@ -8,6 +8,7 @@ What is left is compared by numpy exclusive-or and bit count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,28 +23,51 @@ from daybook.session import settle
 
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text whose words are hashed at once.
+SLICE = 300_000
 #: Fingerprints of a tile, and comparisons held at once.
 TILE, BLOCK = 65_536, 2_000_000
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
-    """Of a text's words: bit i is set if it is in over half the shingles' hashes."""
-    words = text.encode().translate(LOWER).split()
-    n = max(1, len(words) - shingle + 1)
-    if not words:
-        return 0
+    """Of a text's words: bit i is set if it is in over half the shingles' hashes.
+
+    The words of some hundred thousand bytes are held at a time.
+    """
+    counts, n = np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for piece in _slices(text.encode().translate(LOWER)):
+        words += piece.split()
+        if len(words) >= shingle:
+            n += len(words) - shingle + 1
+            counts += _counted(words, shingle)
+            words = words[len(words) - shingle + 1:]
+    if not n and words:
+        n = 1
+        counts += _counted(words, len(words))
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def _slices(data: bytes) -> Iterator[bytes]:
+    """Slices that end at white space."""
+    at = 0
+    while at < len(data):
+        space = SPACE.search(data, at + SLICE)
+        end = space.start() if space else len(data)
+        yield data[at:end]
+        at = end
+
+
+def _counted(words: list[bytes], shingle: int) -> np.ndarray:
+    """How many of the shingles' hashes have each bit."""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = (ends - [len(w) for w in words])[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1:].tolist()
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 50_000):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED)
-                           for a, b in zip(starts[at:at + 50_000], ends[at:at + 50_000], strict=True)],
-                          "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    starts = (ends - [len(w) for w in words])[:len(words) - shingle + 1]
+    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED)
+                       for a, b in zip(starts.tolist(), ends[shingle - 1:].tolist(), strict=True)], "<u8")
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -100,6 +100,23 @@ def test_kept_pieces_are_bounded_and_common_ones_stay(monkeypatch):
     assert len(learnt) == 30 * 8 + 3
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    texts = ["", "some words, some l'été\n<|endoftext|> more\tΣΑΣ " * 30, "x " * 3, " \n " * 40, "y" * 300, "中文 字 " * 50]
+    monkeypatch.setattr(bpe, "TOGETHER", 40)
+    monkeypatch.setattr(bpe, "SLICE", 9)
+    ids, decoded = library(texts)
+    own = bpe.Codec(VOCABULARY, bpe._texts_of, bpe._join_texts)
+    assert list(own.joined(texts)) == [(len(i), " ".join(map(str, i)), d) for i, d in zip(ids, decoded, strict=True)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE", 5)
+    assert [simhash.fingerprint(t) for t in texts] == prints
+
+
+def test_coding_no_documents(none):
+    assert bpe.encode_decode(none, VOCABULARY).collect() == []
+    assert packing.pack(none, VOCABULARY).collect() == []
+
+
 def test_pieces_share_their_words():
     texts = ["x, y.", "x", ",", "x,x", "l'été d'x", "'s x's", "", "a" * 5000, "日本 x", "<|endoftext|>x", "\x1cx\x1c,"]
     ids, decoded = library(texts)
