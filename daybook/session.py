@@ -77,18 +77,22 @@ def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     return own
 
 
-# Rows of a path and a count, some 200 bytes each: 200 MB at most. 100 TB in
-# parts of 128 MB are some 800,000 of them.
-SMALL_ROWS = 1_000_000
+# What a broadcast may have at most. Paths and counts of 100 TB in parts of 128 MB are some
+# 800,000 rows of 200 bytes.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 200_000_000
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Settle a table of short rows and broadcast it if its row count allows.
+    """Settle a table of short rows and broadcast it if its rows and their bytes allow.
 
-    Beyond the limit the join is left to shuffle, with skew handled at run time.
+    Beyond the limits the join is left to shuffle, with skew handled at run time.
     """
     df = settle(df)
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    # Numbers and dates take eight bytes at most; nested columns are not what this is for.
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sizes = [F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)) for name in texts] + [F.lit(8 * len(df.columns))]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum(sizes, F.lit(0)).cast("bigint")).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= SMALL_ROWS and (found["bytes"] or 0) <= SMALL_BYTES else df
 
 
 def read_or_empty(

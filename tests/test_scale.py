@@ -107,6 +107,15 @@ def test_broadcast_stops_at_the_limit(spark, monkeypatch):
         assert "Broadcast" not in plan(big.join(broadcast_if_small(spark.range(11)), "id"))
 
 
+def test_broadcast_stops_at_so_many_bytes(spark, monkeypatch):
+    monkeypatch.setattr("daybook.session.SMALL_BYTES", 1000)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        big = spark.range(1000)
+        few = spark.range(10).selectExpr("id", "repeat('x', 80) AS path")
+        assert "Broadcast" in plan(big.join(broadcast_if_small(few), "id"))
+        assert "Broadcast" not in plan(big.join(broadcast_if_small(few.selectExpr("id", "path || path AS path")), "id"))
+
+
 def test_top_rows_are_kept_per_task(spark):
     assert "TakeOrderedAndProject" in plan(queries.preview(spark, SF_DIR))
 
