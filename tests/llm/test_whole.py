@@ -77,3 +77,37 @@ def test_no_task_has_more_than_a_block_of_the_cells_that_hold_all(spark, monkeyp
     assert max(r["count"] for r in sizes) <= 4 * 8
     assert {r.t for r in sizes} == set(range(16))
     assert blocks.groupBy("node", "t").count().where("count <> 1").isEmpty() and blocks.count() == 600 * 16
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_language_stage_goes_by_the_model(spark, monkeypatch):
+    """Labels are filled in and put right, and what no language explains goes, though it has letters."""
+    rng = np.random.default_rng(8)
+    words = {"a": ["anba", "cada", "beda", "dacan"], "b": ["xyzu", "wuvy", "zuwx", "vyxu"]}
+    rows = [(i, " ".join(rng.choice(words[k], 40)), k) for i, k in enumerate("ab" * 300)]
+    rows += [(1000, " ".join(rng.choice(words["a"], 20)), None), (1001, " ".join(rng.choice(words["b"], 20)), "a")]
+    rows += [(1002, "".join(rng.choice(list("abcdenuvwxyz"), 300)), None), (1003, None, "a"), (1004, "12 34", "b")]
+    # A sample of some of the texts, as in a corpus, so that a text is not among what it is held against.
+    sample = language.sample
+    monkeypatch.setattr(language, "sample", lambda docs: sample(docs, 15))
+    docs = spark.createDataFrame([(d, t, k, "s", len(t or "")) for d, t, k in rows], DOCS)
+    got = corpus_pipeline.keep_languages(spark, docs, "")
+    assert got.columns == docs.columns
+    labels = {r.doc_id: r.lang for r in got.collect()}
+    assert labels == {**{i: k for i, k in enumerate("ab" * 300)}, 1000: "a", 1001: "b"}
+
+
+def test_near_copies_of_rows_that_share_a_doc_id(spark):
+    """Only copies go, whatever the doc_ids; of rows equal in doc_id and text one stays."""
+    text = [f"text {c} " + " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, text[0], "x"), (1, text[1], "x"), (2, text[2], "x"), (3, text[3], "x"), (3, text[2], "x"),
+            (1, text[0], "w"), (None, text[0], "x"), (None, text[0], "x")]
+    docs = spark.createDataFrame([(d, t, k, "s", len(t)) for d, t, k in rows], DOCS).repartition(4)
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text, r.lang) for r in got.collect())
+    assert found == sorted([(1, text[0], "w"), (1, text[1], "x"), (2, text[2], "x"), (3, text[3], "x"),
+                            (0, text[0], "x"), (0, text[0], "x")])
+    assert corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), "").count() == 0
