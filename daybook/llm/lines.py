@@ -18,8 +18,9 @@ from daybook.session import settle
 
 #: Characters of the stretch whose deletions are emitted.
 BLOCK = 64
-#: Bits of the filter that keeps lines without a partner from being moved; 64 to a row, so 6 MB at most.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps lines without a partner from being moved: some for each key
+#: with a partner, within limits; 64 are a row of 16 bytes, so the largest has 32 MB.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 BLANK = " \t\r"
 
 
@@ -35,13 +36,17 @@ def _halves(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """Rows word, bits of a filter over column key: at most ``FILTER_BITS / 64`` of them."""
-    return keys.select(*_place(F.col("key"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def _filter_bits(keys: int) -> int:
+    return min(max(1 << (BITS_A_KEY * keys).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def _place(key: Column) -> tuple[Column, Column]:
-    slot = F.pmod(key, F.lit(FILTER_BITS))
+def _bitmap(keys: DataFrame, size: int) -> DataFrame:
+    """Rows word, bits of a filter of ``size`` bits over column key: at most a 64th as many."""
+    return keys.select(*_place(F.col("key"), size)).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _place(key: Column, size: int) -> tuple[Column, Column]:
+    slot = F.pmod(key, F.lit(size))
     # By name, as the number of places to shift is a column.
     return F.floor(slot / 64).alias("word"), F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int")).alias("bit")
@@ -113,12 +118,14 @@ def line_drops(base: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
         F.min("me").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     gone = known.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if max_edits:
-        shared = known.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+        shared = settle(
+            known.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+        size = _filter_bits(shared.count())
         tested = lines.where(n >= min_chars).select(
             "h1", "h2", me.alias("me"), "line", F.explode(_halves(F.col("line"), n)).alias("key"))
-        word, bit = _place(F.col("key"))
+        word, bit = _place(F.col("key"), size)
         met = (tested.select("h1", "h2", "me", "line", word, bit)
-               .join(F.broadcast(_bitmap(shared)), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0))
+               .join(F.broadcast(_bitmap(shared, size)), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0))
         lone = settle(met.groupBy("h1", "h2").agg(F.min("me").alias("me"), F.first("line").alias("line")))
         near = _near(lone.select("me", "line"))
         gone = gone.union(lone.join(near, "me").select(

@@ -350,6 +350,16 @@ def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch, hot):
     assert sent[0] <= hot
 
 
+def test_filter_follows_the_keys_within_limits(spark, docs, monkeypatch):
+    assert [lines._filter_bits(n) for n in (0, 1000, 10**6, 10**12)] == [1 << 20, 1 << 20, 1 << 24, 1 << 27]
+    few = sorted(map(tuple, lines.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=str)
+    # A full filter lets lines through that have no partner, and none of the others is lost.
+    monkeypatch.setattr(lines, "LEAST_BITS", 64)
+    monkeypatch.setattr(lines, "MOST_BITS", 64)
+    full = sorted(map(tuple, lines.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=str)
+    assert full == few and any(r[2] for r in few)
+
+
 def test_line_dedup_passes_on_columns_of_any_name(spark):
     names = ["doc_id", "text", "__id", "__th", "__drops", "__split", "n_lines", "N_Dropped", "a.b", "th"]
     rows = [(i, "a line that is shared by all\nown line number %d" % i, *"abcdefgh") for i in range(4)]
