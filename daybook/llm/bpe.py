@@ -135,7 +135,8 @@ class Codec:
     the words of a piece, or of the pieces of a text, into that of the whole.
     """
 
-    def __init__(self, path: str, render: Callable[[list[int], list[str]], Any], join: Callable[[list], Any]):
+    def __init__(self, path: str, render: Callable[[list[int], list[str]], Any], join: Callable[[list], Any],
+                 most: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -148,7 +149,7 @@ class Codec:
         self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or r"(?!)")
         self.words = regex.compile(WORDS)
-        self.render, self.join = render, join
+        self.render, self.join, self.most = render, join, most or KEPT
         self.path = path
         self.kept: dict[Any, Any] = {}  # met since the last turn
         self.aged: dict[Any, Any] = {}  # met in the turn before
@@ -181,7 +182,7 @@ class Codec:
     def rendered(self, texts: Iterable[str]) -> Iterator[list]:
         """For each text what ``render`` made of its pieces, in order."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.kept) > KEPT:  # what was not met since the last turn goes
+        if len(self.kept) > self.most:  # what was not met since the last turn goes
             self.aged, self.kept = self.kept, {}
         kept, aged = self.kept, self.aged
         fresh = []
@@ -254,18 +255,18 @@ def _join_texts(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, render: Callable, join: Callable) -> Codec:
+def codec(path: str, render: Callable, join: Callable, most: int) -> Codec:
     """One per worker process, so that what it has learnt serves all its tasks."""
-    return Codec(path, render, join)
+    return Codec(path, render, join, most)
 
 
-def batches(column: pa.Array) -> Iterator[list[str]]:
+def batches(column: pa.Array, together: int = TOGETHER) -> Iterator[list[str]]:
     """The column's texts, some millions of characters at a time; a null is an empty text."""
     texts, size = [], 0
     for value in column:
         texts.append(value.as_py() or "")
         size += len(texts[-1])
-        if size >= TOGETHER:
+        if size >= together:
             yield texts
             texts, size = [], 0
     if texts:
@@ -283,10 +284,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     one value each, grow with it.
     """
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, _texts_of, _join_texts)
+        # A piece is two texts here, so fewer of them are held.
+        own = codec(path, _texts_of, _join_texts, KEPT // 2)
         for part in parts:
             at = 0
-            for texts in batches(part.column(1)):
+            for texts in batches(part.column(1), TOGETHER // 2):
                 found = list(own.joined(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(at, len(texts)), pa.array([f[0] for f in found], pa.int64()),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.bpe import batches, codec
+from daybook.llm.bpe import KEPT, batches, codec
 from daybook.llm.shipping import ship
 from daybook.session import settle
 
@@ -84,7 +84,7 @@ def _bytes_of(ids: list[int], tokens: list[str]) -> bytes:
 def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``limit``."""
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = codec(path, _bytes_of, b"".join), np.array([end_id], "<u4").tobytes()
+        own, last = codec(path, _bytes_of, b"".join, KEPT), np.array([end_id], "<u4").tobytes()
         kind = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         for part in parts:
             ids = part.column(0).to_pylist()
