@@ -255,7 +255,7 @@ def _join_texts(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, render: Callable, join: Callable, most: int) -> Codec:
+def codec(path: str, render: Callable, join: Callable, most: int | None = None) -> Codec:
     """One per worker process, so that what it has learnt serves all its tasks."""
     return Codec(path, render, join, most)
 
