@@ -19,8 +19,8 @@ from daybook.session import settle
 #: Characters of the stretch whose deletions are emitted.
 BLOCK = 64
 #: Bits of the filter that keeps lines without a partner from being moved: some for each key
-#: with a partner, within limits; 64 are a row of 16 bytes, so the largest has 32 MB.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+#: with a partner, within limits; 64 are a row of 16 bytes, so the largest has 16 MB.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 128, 1 << 23, 1 << 26
 BLANK = " \t\r"
 
 

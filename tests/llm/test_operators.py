@@ -351,7 +351,7 @@ def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch, hot):
 
 
 def test_filter_follows_the_keys_within_limits(spark, docs, monkeypatch):
-    assert [lines._filter_bits(n) for n in (0, 1000, 10**6, 10**12)] == [1 << 20, 1 << 20, 1 << 24, 1 << 27]
+    assert [lines._filter_bits(n) for n in (0, 1000, 10**5, 10**12)] == [1 << 23, 1 << 23, 1 << 24, 1 << 26]
     few = sorted(map(tuple, lines.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=str)
     # A full filter lets lines through that have no partner, and none of the others is lost.
     monkeypatch.setattr(lines, "LEAST_BITS", 64)
