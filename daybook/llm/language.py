@@ -29,7 +29,7 @@ MODEL_BYTES = 400_000_000
 #: Texts are parsed in stretches of so many characters, all at once; a stretch starts a new phrase.
 STRETCH = 512
 #: Characters parsed together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             at, rows = 0, part.num_rows
-            texts = part.column(len(keep))
+            texts = part.column("text" if "text" in keep else "__text")
             while at < rows:
                 block, size = [], 0
                 while at + len(block) < rows and size < BLOCK:
@@ -282,5 +282,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(
+    # A text that is kept is not sent twice.
+    texts = [] if "text" in keep else [F.col("text").cast("string").alias("__text")]
+    return docs.select(*keep, *texts).mapInArrow(
         predict, f"{kinds}, lang_pred string, score double, bits double")
