@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.shipping import ship
+from daybook.llm.workers import give_back, keeps
 
 #: Encoded pieces of text after which a worker's table takes its next turn: what was
 #: met in neither of the last two turns is forgotten.
@@ -260,6 +261,10 @@ def codec(path: str, render: Callable, join: Callable, most: int | None = None)
     return Codec(path, render, join, most)
 
 
+# Some 100 to 200 MB, which other stages' tasks in the worker do without.
+keeps(codec.cache_clear)
+
+
 def batches(column: pa.Array, together: int = TOGETHER) -> Iterator[list[str]]:
     """The column's texts, some millions of characters at a time; a null is an empty text."""
     texts, size = [], 0
@@ -296,6 +301,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([f[2] for f in found], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"])
                 at += len(texts)
+            give_back()
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.shipping import ship
+from daybook.llm.workers import give_back, make_room
 
 UNKNOWN = "und"
 
@@ -265,6 +266,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         return names, scores, least
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for part in parts:
             at, rows = 0, part.num_rows
             texts = part.column("text" if "text" in keep else "__text")
@@ -279,6 +281,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     [*own.columns[:len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                      pa.array(least, pa.float64())], names=[*keep, "lang_pred", "score", "bits"])
                 at += len(block)
+            give_back()
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from daybook.llm.bpe import batches, codec
 from daybook.llm.shipping import ship
+from daybook.llm.workers import give_back
 from daybook.session import settle
 
 
@@ -102,6 +103,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) ->
                     [pa.array(columns[0], part.schema.field(0).type),
                      *(pa.array(c, t) for c, t in zip(columns[1:], kind.values(), strict=True))],
                     names=["doc_id", *kind])
+            give_back()
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
