@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.shipping import ship
-from daybook.session import broadcast_if_small, settle
+from daybook.session import broadcast_if_small, settle, tidy_shuffles
 
 #: Neighbours kept of a vector, and of those it is a neighbour of (a bounded choice by hash).
 DEGREE = 24
@@ -314,8 +314,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     not compared. Copies of a vector are all found. With fewer than ``k``
     candidates there are fewer rows. Rows that repeat a vec_id and its vector
     count once.
+
+    A round deals each vector to some 50 others, so what it shuffled goes before
+    the next one begins.
     """
     ship(rows.sparkSession)
+    with tidy_shuffles(rows.sparkSession):
+        return _nearest(rows, is_query, k)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """The same, evaluated."""
     sound = usable(rows)
     members = settle(_points(sound, k + 1))
     nodes = members.where("vec_id = node")
@@ -352,8 +361,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                            F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
     every = spread.join(dealt, ["dim", "part"]).where("vec_id <> query_id").select(
         "query_id", "vec_id", _cosine("qe", "e").alias("score"))
-    return ranked.join(short.select("query_id"), "query_id", "left_anti").select(
-        "query_id", "rank", "vec_id", "score").union(_ranked(every, k))
+    return settle(ranked.join(short.select("query_id"), "query_id", "left_anti").select(
+        "query_id", "rank", "vec_id", "score").union(_ranked(every, k)))
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:

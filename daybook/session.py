@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def tidy_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside the block shuffle files go with the action that wrote them, not once the driver collects its garbage.
+
+    For steps that each end in ``settle``; a frame that is evaluated twice shuffles twice.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """Another session of the application with the same settings but for some; ``spark`` stays as it is."""
     own = spark.newSession()
