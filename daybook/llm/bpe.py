@@ -16,10 +16,12 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ WORD_END = "</w>"
 # Python takes for white space, are normalised and split by the library.
 _SPACE = re.compile("[ \t\n]")
 PLAIN = re.compile("[^\x00-\x1b\x20-ɏ]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_alphabet() -> list[str]:
@@ -71,10 +74,12 @@ class PairIndex:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's begin."""
-        data = [w.encode() for w in words]
-        sizes = np.array([len(d) for d in data], np.int64)
+        data = "".join(words).encode()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if len(data) > sizes.sum():
+            sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        codes = np.frombuffer(b"".join(data), np.uint8)
+        codes = np.frombuffer(data, np.uint8)
         n = len(codes)
         symbols = self.inner[codes]
         symbols[ends - 1] = self.final[codes[ends - 1]]
@@ -82,6 +87,8 @@ class PairIndex:
         after[ends - 1] = -1
         before = np.arange(-1, n - 1)
         before[ends - sizes] = -1
+        merged = np.zeros(n, np.int64)  # the turn of the last merge at each position
+        turn = 0
         where: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -106,7 +113,9 @@ class PairIndex:
             r = heapq.heappop(active)
             left, right, whole = self.merged[r].tolist()
             found = where.pop(r)
-            i = np.unique(np.concatenate(found))
+            i = np.concatenate(found) if len(found) > 1 else found[0]
+            if left == right:
+                i = np.sort(i)
             j = after[i]
             # An earlier merge may have taken a symbol of the pair.
             live = (symbols[i] == left) & (j >= 0)
@@ -120,11 +129,16 @@ class PairIndex:
             if not len(i):
                 continue
             k = after[j]
-            symbols[i], symbols[j] = whole, -1
+            turn += 1
+            symbols[i], symbols[j], merged[i] = whole, -1, turn
             after[i] = k
-            before[k[k >= 0]] = i[k >= 0]
+            inside = k >= 0
+            followed = i[inside]
+            before[k[inside]] = followed
             previous = before[i]
-            note(np.concatenate([previous[previous >= 0], i[k >= 0]]))
+            previous = previous[previous >= 0]
+            # One that was merged now and is followed is in the list already.
+            note(np.concatenate([previous[merged[previous] != turn], followed]))
         kept = symbols >= 0
         return symbols[kept], np.cumsum(kept)[ends - sizes] - 1
 
@@ -149,7 +163,7 @@ class Codec:
         by_id = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in self.special) or r"(?!)")
-        self.words = regex.compile(WORDS)
+        self.words = regex.compile(WORDS + r"|\n")  # line feeds stand between pieces
         self.render, self.join, self.most = render, join, most or KEPT
         self.path = path
         self.kept: dict[Any, Any] = {}  # met since the last turn
@@ -166,9 +180,12 @@ class Codec:
         normal, split = self._library
         return [(w,) for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
 
+    def _special(self, text: str) -> bool:
+        return "<|" in text and self.cut.search(text) is not None
+
     def pieces(self, text: str) -> list:
         """Keys of the pieces: text without white space, a word, or a special token's id."""
-        if "<|" in text and self.cut.search(text):
+        if self._special(text):
             out: list = []
             at = 0
             for m in self.cut.finditer(text):
@@ -176,18 +193,24 @@ class Codec:
                 out.append(self.special[m[0]])
                 at = m.end()
             return out + self.pieces(text[at:])
-        if PLAIN.search(text):
+        if not _plain(text):
             return self._split_by_library(text)
         return text.lower().split()
 
     def rendered(self, texts: Iterable[str]) -> Iterator[list]:
         """For each text what ``render`` made of its pieces, in order."""
         cut = [self.pieces(t) for t in texts]
+        self._meet(set().union(*cut))
+        kept = self.kept
+        return ([kept[p] for p in pieces] for pieces in cut)
+
+    def _meet(self, pieces: Iterable) -> None:
+        """Have all of these pieces in the newer generation."""
         if len(self.kept) > self.most:  # what was not met since the last turn goes
             self.aged, self.kept = self.kept, {}
         kept, aged = self.kept, self.aged
         fresh = []
-        for piece in set().union(*cut):
+        for piece in pieces:
             if piece not in kept:
                 known = aged.get(piece)
                 if known is None:
@@ -195,7 +218,6 @@ class Codec:
                 else:
                     kept[piece] = known
         self._learn(fresh)
-        return ([kept[p] for p in pieces] for pieces in cut)
 
     def joined(self, texts: list[str]) -> Iterator[Any]:
         """For each text what ``join`` makes of its pieces; of a long text some slices are held at a time."""
@@ -210,7 +232,7 @@ class Codec:
         """A piece is made of its words; those are pieces, too, and mostly known."""
         kept, aged = self.kept, self.aged
         words: dict[Any, str] = {}
-        several: list[tuple[str, list[str]]] = []
+        mixed: list[str] = []
         for piece in pieces:
             if isinstance(piece, int):
                 kept[piece] = self.render([piece], self.tokens)
@@ -219,23 +241,79 @@ class Codec:
             elif piece.isalpha():
                 words[piece] = piece
             else:
-                several.append((piece, self.words.findall(piece)))
-        for _, parts in several:
-            for word in parts:
-                if word not in kept:
-                    if word in aged:
-                        kept[word] = aged[word]
-                    else:
-                        words[word] = word
+                mixed.append(piece)
+        several: list[list[str]] = [[] for _ in mixed]
+        at = 0
+        for word in self.words.findall("\n".join(mixed)):
+            if word == "\n":
+                at += 1
+                continue
+            several[at].append(word)
+            if word not in kept:
+                if word in aged:
+                    kept[word] = aged[word]
+                else:
+                    words[word] = word
         if words:
             ids, starts = self.index.encode(list(words.values()))
-            flat, begin = ids.tolist(), [*starts.tolist(), len(ids)]
-            for k, word in enumerate(words):
-                kept[word] = self.render(flat[begin[k]:begin[k + 1]], self.tokens)
-        for piece, parts in several:
+            kept.update(zip(words, self._rendered(ids, starts), strict=True))
+        for piece, parts in zip(mixed, several, strict=True):
             if len(parts) != 1 or parts[0] != piece:
                 kept[piece] = self.join([kept[word] for word in parts])
 
+    def _rendered(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[Any]:
+        flat, begin = ids.tolist(), [*starts.tolist(), len(ids)]
+        return (self.render(flat[b:e], self.tokens) for b, e in pairwise(begin))
+
+
+class ByteCodec(Codec):
+    """Keeps ids as bytes, four of each in little-endian order.
+
+    Arrow numbers the pieces of a batch and gathers their bytes, so that
+    Python sees each distinct piece once a batch and not each occurrence.
+    """
+
+    def __init__(self, path: str, most: int | None = None):
+        super().__init__(path, lambda ids, _: np.array(ids, "<u4").tobytes(), b"".join, most)
+
+    def joined(self, texts: list[str]) -> Iterator[bytes]:
+        short = self._whole([t for t in texts if len(t) <= TOGETHER])
+        for text in texts:
+            if len(text) <= TOGETHER:
+                yield next(short)
+            else:
+                yield b"".join(data for s in _slices(text) for data in self._whole([s]))
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not self._special(t) and _plain(t) for t in texts]
+        fast = self._gathered([t for t, p in zip(texts, plain, strict=True) if p])
+        slow = map(self.join, self.rendered(t for t, p in zip(texts, plain, strict=True) if not p))
+        return (next(fast if p else slow) for p in plain)
+
+    def _gathered(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of plain texts."""
+        cut = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        named = cut.values.dictionary_encode()
+        pieces = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._meet(pieces)
+        ids = pa.array([self.kept[p] for p in pieces], pa.large_binary()).take(named.indices)
+        if not len(ids):
+            return iter([b""] * len(texts))
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        view = memoryview(data)
+        return (bytes(view[b:e]) for b, e in pairwise(at))
+
+    def _rendered(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        data, begin = ids.astype("<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return (data[b:e] for b, e in pairwise(begin))
+
+
+def _plain(text: str) -> bool:
+    if text.isascii():
+        return not any(c in text for c in SEPARATORS)
+    return PLAIN.search(text) is None
+
 
 def _slices(text: str) -> Iterator[str]:
     """Slices that begin at white space, which no word spans."""
@@ -265,6 +343,15 @@ def codec(path: str, render: Callable, join: Callable, most: int | None = None)
 keeps(codec.cache_clear)
 
 
+@lru_cache(maxsize=2)
+def byte_codec(path: str) -> ByteCodec:
+    """The same, of ids as bytes."""
+    return ByteCodec(path)
+
+
+keeps(byte_codec.cache_clear)
+
+
 def batches(column: pa.Array, together: int = TOGETHER) -> Iterator[list[str]]:
     """The column's texts, some millions of characters at a time; a null is an empty text."""
     texts, size = [], 0

@@ -9,7 +9,6 @@ be left. Pieces come longest first; one that fits nowhere opens a sequence.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.bpe import batches, codec
+from daybook.llm.bpe import TOGETHER, batches, byte_codec
 from daybook.llm.shipping import ship
 from daybook.llm.workers import give_back
 from daybook.session import settle
@@ -78,19 +77,15 @@ def fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray
     return number, offset
 
 
-def _bytes_of(ids: list[int], tokens: list[str]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def pieces_of(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``limit``."""
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = codec(path, _bytes_of, b"".join), np.array([end_id], "<u4").tobytes()
+        own, last = byte_codec(path), np.array([end_id], "<u4").tobytes()
         kind = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         for part in parts:
             ids = part.column(0).to_pylist()
             at = 0
-            for texts in batches(part.column(1)):
+            for texts in batches(part.column(1), 2 * TOGETHER):
                 rows = []
                 for doc, joined in zip(ids[at:at + len(texts)], own.joined(texts), strict=True):
                     data = joined + last

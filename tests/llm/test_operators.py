@@ -127,6 +127,49 @@ def test_pieces_share_their_words():
                                            for i, d in zip(ids, decoded, strict=True)]
 
 
+ODD_TEXTS = [
+    "", " ", "x, y.", "  two  words \n", "l'été d'x 's x's don't", "a" * 5000, "ab" * 300 + " aaa aaaa", "日本 x", "İstanbul Ŀ ɏ",
+    "<|endoftext|>x <|startoftext|>", "< | |> <|", "\x1cx\x1c,", "a\x85b\xa0c\x0bd\x0ce", "x\u2003y", "e\u0301 ΣΑΣ", "\n".join("x,.'y"),
+    "7 77 7a7 3.14", "".join(map(chr, range(0x20, 0x250)))]
+
+
+def test_ids_as_bytes_are_the_librarys(monkeypatch):
+    ids, _ = library(ODD_TEXTS)
+    want = [np.array(i, "<u4").tobytes() for i in ids]
+    own = bpe.ByteCodec(VOCABULARY, 5)
+    for order in (range(len(ODD_TEXTS)), range(len(ODD_TEXTS) - 1, -1, -1), [0, 1], [2, 3], [0], []):
+        assert list(own.joined([ODD_TEXTS[i] for i in order])) == [want[i] for i in order]
+    monkeypatch.setattr(bpe, "TOGETHER", 40)
+    monkeypatch.setattr(bpe, "SLICE", 9)
+    assert list(own.joined(ODD_TEXTS)) == want
+
+
+def test_words_made_of_the_same_symbols(rows):
+    words = sorted({w for r in rows for w in (r[1] or "").lower().split() if w.isalpha() and w.isascii()}
+                   | {c * n for c in "aehlmorz" for n in range(1, 40)} | {"ha" * n for n in range(1, 30)})
+    index = bpe.Codec(VOCABULARY, bpe._texts_of, bpe._join_texts).index
+    ids, starts = index.encode(words)
+    assert [p.tolist() for p in np.split(ids, starts[1:])] == library(words)[0]
+
+
+def test_python_meets_a_piece_once_a_batch():
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    own = bpe.byte_codec(VOCABULARY)
+    own.kept = Counted()
+    text = "some words that come, and come again\n" * 500
+    found = list(own.joined([text, "words again"] * 5))
+    want = [np.array(i, "<u4").tobytes() for i in library([text, "words again"])[0]]
+    assert found == want * 5
+    assert Counted.looked <= 20
+    bpe.byte_codec.cache_clear()
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs, VOCABULARY, packing.Capacity(tokens=256)).collect()
     ids, _ = library([r[1] or "" for r in rows])
